@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts still fits a Python worker."""
+def python_workers(spark: SparkSession, rows: int = 512) -> None:
+    """Make this package importable in Python workers, and keep Arrow batches to few rows, so that a batch of very long texts still fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = spark.sparkContext.applicationId
+    if key not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(), "tessera_package.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(key)
