@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.wordhash import alnum_words, text_buffer, words
-from tessera.runtime import bounded_batches, materialize
+from tessera.runtime import python_workers, materialize
 
 _U = np.uint64
 #: Words of test items in one automaton; further items go to further automata, one pass each.
@@ -232,7 +232,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, carr
     hits nothing.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_workers(spark)
     carry_ = list(carry)
     source = docs.select(*carry_, F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in carry_)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.wordhash import mix, space_words, text_buffer, words
-from tessera.runtime import bounded_batches, discard, materialize
+from tessera.runtime import python_workers, discard, materialize
 
 _U = np.uint64
 #: A bucket of more rows than this is worked on as pairs of blocks of this size.
@@ -202,7 +202,7 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, bands
     judged by their own texts.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_workers(spark)
     floor = percent / 100 - 4.2 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = materialize(base.mapInArrow(_features(width, bands, rows, seed), "doc_id long, n_shingles long, k1 long, k2 long, bands array<bigint>, sig binary"), "minhash")

@@ -25,5 +25,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_benchmark_decontamination, op9_quality_rules)}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_label_propagation_shards, op6_benchmark_decontamination, op9_quality_rules, op10_mix_sources)}
 ORACLES: dict[str, str] = {}
