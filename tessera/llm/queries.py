@@ -37,5 +37,23 @@ def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_label_propagation_shards, op6_benchmark_decontamination, op9_quality_rules, op10_mix_sources)}
+def op2_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_model import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_clause_toxicity, op3_label_propagation_shards, op5_quality_classifier,
+        op6_benchmark_decontamination, op9_quality_rules, op10_mix_sources,
+    )
+}
 ORACLES: dict[str, str] = {}
