@@ -49,11 +49,29 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import extract_pii
+
+    return extract_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_clause_toxicity, op3_label_propagation_shards, op5_quality_classifier,
-        op6_benchmark_decontamination, op9_quality_rules, op10_mix_sources,
+        op1_minhash_near_dedup, op2_clause_toxicity, op3_label_propagation_shards, op4_line_dedup, op5_quality_classifier,
+        op6_benchmark_decontamination, op7_contextual_pii, op8_secret_ownership, op9_quality_rules, op10_mix_sources,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.neardup import shingle_sets
 from tessera.llm.sampling import held_out, training_sample
-from tessera.runtime import python_workers
+from tessera.llm.wordhash import mix
+from tessera.runtime import materialize, python_workers
 
 #: Closed-class words of the grammar (fixed values): English, German, French, Spanish.
 TARGETS = {"you", "your", "yours", "u", "they", "them", "he", "she", "him", "her", "du", "dich", "dir", "dein", "ihr", "euch", "sie", "tu", "te", "toi", "ton", "vous", "votre", "ils", "tú", "ti", "usted", "ustedes", "vosotros", "ellos"}
@@ -78,13 +80,21 @@ def _count_grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][g] for g in names], pa.int64()), pa.array([counts[0][g] for g in names], pa.int64())], ["gram", "p", "n"])
 
 
+def _families(batches):
+    """A min-hash of each text's three-word shingles: copies and most near copies share it."""
+    for batch in batches:
+        near = [int(mix(x).min().view(np.int64)) if len(x) else 0 for x in shingle_sets(batch.column("text"), 3)]
+        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("text"), pa.array(near, pa.int64())], ["y", "text", "near"])
+
+
 def learn_lexicon(sample: DataFrame, most: int = 3000) -> list[tuple[str, float]]:
     """Stems and words that mark positive rows: (gram, log odds).
 
     A gram counts if its likelihood ratio beats what the number of grams tried
-    lets chance give, and at least 15 : 1 odds.  Of a chain of prefixes with the same
+    lets chance give, and at least 15 : 1 odds; a family of near copies counts once.  Of a chain of prefixes with the same
     support only the longest stays, and a gram whose prefix is as pure is left out.
     """
+    sample = materialize(sample.mapInArrow(_families, "y int, text string, near long").dropDuplicates(["y", "near"]).drop("near"), "families")
     by_label = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     p_all, n_all = by_label.get(1, 0), by_label.get(0, 0)
     if not p_all or not n_all:
