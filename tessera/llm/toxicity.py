@@ -105,7 +105,8 @@ def learn_lexicon(sample: DataFrame, most: int = 3000) -> list[tuple[str, float]
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     g2 = 2 * (term(F.col("p"), seen * share) + term(F.col("n"), seen * (1 - share)))
     odds = F.log((F.col("p") + 0.5) / (p_all + 1)) - F.log((F.col("n") + 0.5) / (n_all + 1))
-    least = 2 * math.log(max(2, p_all + n_all) * 400) + 2
+    counts = materialize(counts.where(seen >= 4), "grams")
+    least = 2 * math.log(max(2, counts.count())) + 2
     found = counts.where(F.col("p") >= 3).withColumn("g2", g2).withColumn("odds", odds).where((F.col("g2") >= least) & (F.col("odds") >= math.log(15)))
     rows = found.orderBy(F.desc("g2"), "gram").limit(most).collect()
     support = {r["gram"]: (r["p"], r["odds"]) for r in rows}
