@@ -54,7 +54,7 @@ def sainte_lague(votes: list[Fraction], seats: int) -> list[int]:
     return won
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, shards: int = 16, seed: int = 29, block: int = 1024, rows_in_bucket: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, shards: int = 16, seed: int = 29, block: int = 1024, rows_in_bucket: int = 2_000) -> DataFrame:
     """How many words a mix takes of each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, source.
 
     Size is the number of words (runs of anything but ASCII white space; null text:
