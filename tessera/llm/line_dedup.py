@@ -15,59 +15,72 @@ _STEP = _U(0x9FB21C651E98DF25)
 _POWER = int(_STEP) | 1
 
 
-def _lines(batch: pa.RecordBatch):
-    """(row, line number, word hashes) of each line with a word."""
-    data, offsets = text_buffer(batch.column("text"))
-    _start, _, hashes, first = words(data, offsets, space_words())
-    breaks = np.flatnonzero(data == 10)
-    # the line of each word is the number of line ends before it
-    before = np.searchsorted(breaks, _start)
-    base = np.searchsorted(breaks, offsets)
-    for i in range(len(batch)):
-        a, z = first[i], first[i + 1]
-        if z > a:
-            line = before[a:z] - base[i]
-            cut = np.flatnonzero(np.diff(line)) + 1
-            for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [z - a]]), strict=True):
-                yield i, int(line[lo]), hashes[a + lo : a + hi]
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _U(_POWER))
-    if n:
-        out[0] = _U(1)
-    return np.multiply.accumulate(out)
-
-
-def _key(h: np.ndarray) -> int:
-    """Hash of a word sequence."""
-    return int(mix((h * _powers(len(h))).sum(keepdims=True, dtype=_U) + _U(len(h)))[0].view(np.int64))
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    if not _tables or len(_tables[0]) < n:
+        size = max(n, 1 << 16)
+        both = np.full(size, _U(_POWER)), np.full(size, _U(pow(_POWER, -1, 1 << 64)))
+        for t in both:
+            t[0] = _U(1)
+        _tables[:] = [np.multiply.accumulate(t) for t in both]
+    return _tables[int(inverse)][:n]
+
+
+class _Lines:
+    """The lines with a word of a batch of texts, as ranges [lo, hi) of its words; keys of ranges come from one prefix sum."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = text_buffer(column)
+        start, _, self.hashes, first = words(data, offsets, space_words())
+        breaks = np.flatnonzero(data == 10)
+        before = np.searchsorted(breaks, start)
+        text_of = np.repeat(np.arange(len(column)), np.diff(first))
+        new = np.ones(len(start), bool)
+        new[1:] = (before[1:] != before[:-1]) | (text_of[1:] != text_of[:-1])
+        self.lo = np.flatnonzero(new)
+        self.hi = np.append(self.lo[1:], len(start)).astype(np.int64) if len(self.lo) else self.lo
+        self.row = text_of[self.lo]
+        self.line = before[self.lo] - np.searchsorted(breaks, offsets)[self.row]
+        n = len(start)
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(self.hashes * _powers(n), dtype=_U)])
+        self.down = _powers(n + 1, True)
+
+    def keys(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the word sequences in the ranges."""
+        return mix((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(_U)).view(np.int64)
 
 
 def _line_rows(batches):
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        for i, line, h in _lines(batch):
-            n = len(h)
-            halves = {(n // 2, 0), (n // 2, 1), ((n - 1) // 2, 0), ((n - 1) // 2, 1)}
-            keys = [_key(np.append(h[n - p :] if back else h[:p], _U(p * 2 + back))) for p, back in sorted(halves) if p]
-            for held, value in zip(rows, (i, line, _key(h), n, keys), strict=True):
-                held.append(value)
-        at = pa.array(rows[0], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.list_(pa.int64()))], ["doc_id", "line", "lh", "n", "halves"])
+        t = _Lines(batch.column("text"))
+        n = t.hi - t.lo
+        long_, short = n // 2, (n - 1) // 2
+        halves, valid = [], []
+        for p, wanted in ((long_, long_ > 0), (short, (short > 0) & (short != long_))):
+            halves += [t.keys(t.lo, t.lo + p), (mix(t.keys(t.hi - p, t.hi).view(_U) + _U(1))).view(np.int64)]
+            valid += [wanted, wanted]
+        valid = np.array(valid).T.reshape(len(n), 4)
+        flat = np.array(halves).T.reshape(len(n), 4)[valid]
+        ends = np.concatenate([[0], np.cumsum(valid.sum(axis=1))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(t.row, pa.int64())), pa.array(t.line.astype(np.int64)), pa.array(t.keys(t.lo, t.hi)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))],
+            ["doc_id", "line", "lh", "n", "halves"],
+        )
 
 
 def _word_rows(batches):
     """The words of the wanted lines of each document."""
     for batch in batches:
         wanted = [set(w) for w in batch.column("wanted").to_pylist()]
+        t = _Lines(batch.column("text"))
         keys, bodies = [], []
-        for i, _, h in _lines(batch):
-            k = _key(h)
+        for i, k, lo, hi in zip(t.row.tolist(), t.keys(t.lo, t.hi).tolist(), t.lo.tolist(), t.hi.tolist(), strict=True):
             if k in wanted[i]:
                 wanted[i].discard(k)
                 keys.append(k)
-                bodies.append(h.tobytes())
+                bodies.append(t.hashes[lo:hi].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["lh", "body"])
 
 
