@@ -220,7 +220,7 @@ def _score(model):
         lexicon, w = model.value
         grammar = Grammar(lexicon)
         for batch in batches:
-            x = np.array([grammar.features(t or "") for t in batch.column("text").to_pylist()]).reshape(len(batch), -1)
+            x = np.array([grammar.features(t or "") for t in batch.column("text").to_pylist()]).reshape(len(batch), len(KINDS) + 3)
             z = np.clip(x @ w[:-1] + w[-1], -30, 30) if len(batch) else np.zeros(0)
             clauses = (x[:, -2] > 0) if len(batch) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(1 / (1 + np.exp(-z)), 6)), pa.array(clauses)], ["doc_id", "score", "matched"])
@@ -244,7 +244,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1500, ne
     sample, share = training_sample(docs, labels, "toxic", 3, 1, positives, negatives)
     lexicon = learn_lexicon(sample)
     rows = sample.mapInArrow(_features(spark.sparkContext.broadcast(lexicon)), "y int, x array<double>").collect()  # positives + negatives rows at most
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows])
+    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), len(KINDS) + 3), np.array([r["y"] for r in rows])
     if len(set(y.tolist())) == 2:
         weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
         w = fit_logistic(x, y, weight)
