@@ -274,12 +274,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
 
 
 def benchmark_digest(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match of each document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words; 0 where nothing is hit) of each document."""
     hits = benchmark_hits(docs, benchmark, window)
     n_hit = F.aggregate("__marks", F.lit(0).cast("long"), lambda n, m: n + m["b"] - m["a"])
     return hits.select(
         "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        contaminated(percent).alias("contaminated"), F.col("__longest").alias("longest_match"),
+        contaminated(percent).alias("contaminated"), F.when(n_hit > 0, F.col("__longest")).otherwise(0).alias("longest_match"),
     )
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.oracles import ORACLES  # noqa: F401
 from tessera.runtime import table
 
 
@@ -74,4 +75,3 @@ QUERIES = {
         op6_benchmark_decontamination, op7_contextual_pii, op8_secret_ownership, op9_quality_rules, op10_mix_sources,
     )
 }
-ORACLES: dict[str, str] = {}

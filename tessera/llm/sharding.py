@@ -15,14 +15,12 @@ def _approved(wanted: dict[tuple[int, int], int], load: list[int], quota: float,
     """The share of each (from, to) flow that quotas allow: at most `slack` over the quota in any shard, whatever the order."""
     shards = range(len(load))
     arriving = {t: sum(n for (_, to), n in wanted.items() if to == t) for t in shards}
-    leaving = {s: sum(n for (a, _), n in wanted.items() if a == s) for s in shards}
     share = {t: 1.0 for t in shards}
     for _ in range(20):  # arrivals shrink until what stays and comes fits; departures shrink with them
         left = {s: sum(n * share[to] for (a, to), n in wanted.items() if a == s) for s in shards}
         for t in shards:
             if arriving[t]:
                 share[t] = min(share[t], max(0.0, (quota * (1 + slack) - load[t] + left[t]) / arriving[t]))
-    del leaving
     return {k: share[k[1]] for k in wanted}
 
 
