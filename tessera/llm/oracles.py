@@ -93,8 +93,9 @@ def _quality() -> str:
     return f"""WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 t AS (SELECT doc_id, lang, text, regexp_extract_all(text, {_SPACED}) AS w, [{spaces}, {classes}] AS seen,
 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_SPACED})) AS lines FROM docs),
-i AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t),
-z AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c FROM i),
+k AS (SELECT doc_id, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS k FROM t),
+i AS (SELECT doc_id, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM k),
+z AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM i),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM z WHERE c > 1) GROUP BY 1),
 n AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(w) AS base_failed,
