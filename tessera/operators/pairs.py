@@ -139,13 +139,10 @@ def knn_single(vectors: DataFrame, query: list[float], k: int, threshold: float)
     return vectors.select("id", dot("embedding", q).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k).where(F.col("similarity") >= threshold)
 
 
-def ivf_candidates(vectors: DataFrame, k: int, threshold: float, nlist: int = 100, nprobe: int = 10, seed: int = 42, sample: int = 20_000) -> DataFrame:
-    """cosine_candidates by cells: spherical k-means on at most `sample` rows, every row in its nearest cell, queries in their nprobe nearest cells."""
-    spark = vectors.sparkSession
-    python_workers(spark, 4096)
-    n = vectors.count()
-    cells = max(1, min(nlist, n // 10))
-    chosen = vectors.orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select("embedding").collect()
+def train_cells(vectors: DataFrame, nlist: int = 100, seed: int = 42, sample: int = 20_000) -> np.ndarray:
+    """Cell centres by spherical k-means on at most `sample` rows in seeded hash order: a tenth as many cells as rows at most."""
+    cells = max(1, min(nlist, vectors.count() // 10))
+    chosen = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("embedding").collect()
     x = np.array([r["embedding"] for r in chosen], dtype=float).reshape(len(chosen), -1)
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:cells]].copy() if len(x) else np.zeros((0, 0))
@@ -155,27 +152,56 @@ def ivf_candidates(vectors: DataFrame, k: int, threshold: float, nlist: int = 10
             if (label == c).any():
                 m = x[label == c].sum(axis=0)
                 centres[c] = m / max(1e-12, np.linalg.norm(m))
-    held = spark.sparkContext.broadcast(centres)
+    return centres
+
 
-    def probe(many: int):
-        def run(batches):
-            for batch in batches:
-                v = np.array(batch.column("embedding").to_pylist(), dtype=float).reshape(len(batch), -1)
-                near = np.argsort(-(v @ held.value.T), axis=1, kind="stable")[:, :many].astype(np.int32) if len(batch) else np.zeros((0, many), np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32()))], ["id", "embedding", "cells"])
+def nearest_cells(vectors: DataFrame, centres: np.ndarray, many: int) -> DataFrame:
+    """(id, embedding, cells): the nearest cells of each row of vectors."""
+    spark = vectors.sparkSession
+    python_workers(spark, 4096)
+    held = spark.sparkContext.broadcast(centres)
 
-        return run
+    def run(batches):
+        for batch in batches:
+            v = np.array(batch.column("embedding").to_pylist(), dtype=float).reshape(len(batch), -1)
+            near = np.argsort(-(v @ held.value.T), axis=1, kind="stable")[:, :many].astype(np.int32) if len(batch) else np.zeros((0, many), np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32()))], ["id", "embedding", "cells"])
 
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    schema = "id long, embedding array<double>, cells array<int>"
-    index = rows.mapInArrow(probe(1), schema).select(F.col("id").alias("j"), F.col("embedding").alias("y"), F.get("cells", F.lit(0)).alias("cell"))
-    ask = rows.mapInArrow(probe(min(nprobe, cells)), schema).select(F.col("id").alias("i"), F.col("embedding").alias("x"), F.explode("cells").alias("cell"))
+    return rows.mapInArrow(run, "id long, embedding array<double>, cells array<int>")
+
+
+def ivf_candidates(vectors: DataFrame, k: int, threshold: float, nlist: int = 100, nprobe: int = 10, seed: int = 42, sample: int = 20_000) -> DataFrame:
+    """cosine_candidates by cells: every row in its nearest cell, queries in their nprobe nearest cells."""
+    centres = train_cells(vectors, nlist, seed, sample)
+    index = nearest_cells(vectors, centres, 1).select(F.col("id").alias("j"), F.col("embedding").alias("y"), F.get("cells", F.lit(0)).alias("cell"))
+    ask = nearest_cells(vectors, centres, min(nprobe, max(1, len(centres)))).select(F.col("id").alias("i"), F.col("embedding").alias("x"), F.explode("cells").alias("cell"))
     sims = ask.join(index, "cell").select("i", "j", dot("x", "y").alias("similarity"))
     order = Window.partitionBy("i").orderBy(F.desc("similarity"), "j")
     near = sims.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("i") != F.col("j")) & (F.col("similarity") >= threshold))
     return near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
+def save_index(vectors: DataFrame, folder: str, nlist: int = 100, seed: int = 42, sample: int = 20_000) -> None:
+    """Cell centres, and all rows partitioned by cell, as Parquet under folder."""
+    centres = train_cells(vectors, nlist, seed, sample)
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    vectors.sparkSession.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+    placed = nearest_cells(vectors, centres, 1).select("id", "embedding", F.get("cells", F.lit(0)).alias("cell"))
+    # a cell's rows go to several files if the cell is large
+    spread = F.pmod(F.xxhash64("id"), F.lit(4))
+    placed.repartition("cell", spread).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
+
+
+def query_index(spark, folder: str, query: list[float], k: int, threshold: float, nprobe: int = 10) -> DataFrame:
+    """The k nearest rows of one vector among its nprobe nearest cells of a saved index; other cells' files aren't read."""
+    centres = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()
+    q = np.array(query, dtype=float)
+    order = sorted(centres, key=lambda r: -float(np.dot(r["centre"], q)))[:nprobe]
+    rows = spark.read.schema("id long, embedding array<double>, cell int").parquet(f"{folder}/rows")
+    return knn_single(rows.where(F.col("cell").isin([r["cell"] for r in order])), query, k, threshold)
+
+
 def tier_split(pairs: DataFrame, strict: int = 2) -> DataFrame:
     """pairs with tier: `strict` if both distances are within the bits, else `deferred`."""
     return pairs.withColumn("tier", F.when((F.col("p_dist") <= strict) & (F.col("d_dist") <= strict), "strict").otherwise("deferred"))

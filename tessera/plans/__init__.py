@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import columns as c
-from tessera.operators import cluster, evaluate, pairs, reports
+from tessera.operators import catalogue, cluster, evaluate, pairs, reports
 from tessera.operators.features import split_resume
 from tessera.runtime import table
 
@@ -295,3 +295,76 @@ def resume_split(spark, d):
 @query("SELECT event_type, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1")
 def distinct_members(spark, d):
     return table(spark, d, "events").select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("user_id").alias("users"))
+
+
+def _crops(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures with crop signatures that are the next vector's, one bit changed."""
+    s = _sigs(spark, d)
+    after = s.select((F.col("id") - 1).alias("id"), F.col("p").bitwiseXOR(F.lit(4).cast("bigint")).alias("crop_p"), F.col("d").alias("crop_d"))
+    return s.join(after, "id", "left")
+
+
+@query(f"""WITH {SIGS}, n AS (SELECT a.id, xor(b.p, 4::BIGINT::BIT) AS crop_p, b.d AS crop_d FROM sigs a JOIN sigs b ON b.id = a.id + 1),
+hit AS (SELECT least(n.id, s.id) AS a, greatest(n.id, s.id) AS b, bit_count(xor(crop_p, s.p))::INT AS p_dist, bit_count(xor(crop_d, s.d))::INT AS d_dist FROM n, sigs s WHERE n.id <> s.id AND bit_count(xor(crop_p, s.p)) <= 2 AND bit_count(xor(crop_d, s.d)) <= 2)
+SELECT a, b, arg_min(p_dist, (p_dist + d_dist) * 100 + p_dist) AS p_dist, arg_min(d_dist, (p_dist + d_dist) * 100 + p_dist) AS d_dist FROM hit GROUP BY a, b""")
+def crop_style_asymmetric(spark, d):
+    return pairs.crop_join(_crops(spark, d))
+
+
+@query(f"""WITH {GROUPS}, j AS (SELECT count(*) AS total_images, (SELECT count(*) FROM grp) AS groups_found, (SELECT count(*) FROM member) AS images_in_groups FROM docs)
+SELECT total_images::INT AS total_images, groups_found::INT AS groups_found, images_in_groups::INT AS images_in_groups, 0 AS rejected FROM j""")
+def telemetry_counters(spark, d):
+    groups = _groups(spark, d)
+    counts = {"total_images": _docs(spark, d).count(), "groups_found": groups.count(), "images_in_groups": reports.group_report(groups).count()}
+    none = spark.createDataFrame([], "stage string, path_a string, path_b string, color_distance double")
+    return reports.telemetry(counts, none).select(*counts, F.size("rejected_pairs").alias("rejected"))
+
+
+@query(f"WITH {GROUPS} SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS file_name FROM member JOIN docs USING (path) WHERE doc_id % 5 = 0")
+def control_violations(spark, d):
+    controls = _docs(spark, d).where("doc_id % 5 = 0").select(c.base_name("path").alias("variant_file"))
+    return evaluate.violations(reports.group_report(_groups(spark, d)), controls)
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds whose stems come in pairs and whose signatures are coarse, so that both kinds of exclusion occur."""
+    s = _sigs(spark, d)
+    return s.select(F.format_string("%06d", "id").alias("path"), F.concat(F.lit("Model"), F.floor(F.col("id") / 3).cast("string"), F.lit("_"), F.col("id").cast("string")).alias("stem"), "p", "d")
+
+
+@query()
+def distinct_seeds(spark, d):
+    return catalogue.distinct_seeds(_seeds(spark, d), 18, 22)
+
+
+@query("""WITH n AS (SELECT p_partkey, p_name || format(' {:08d}', p_partkey) AS name FROM part),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY name LIKE '%bolt%' OR name LIKE '%widget%' ORDER BY name) AS k FROM n),
+c1 AS (SELECT *, CASE WHEN name LIKE '%bolt%' OR (name LIKE '%widget%' AND k <= 40) THEN 'first' END AS c FROM r1),
+r2 AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY c IS NULL AND name LIKE '%widget%' ORDER BY name) AS k FROM c1)
+SELECT p_partkey, coalesce(c, CASE WHEN name LIKE '%cold%' THEN 'second' WHEN name LIKE '%widget%' AND k <= 40 THEN 'third' END, 'rest') AS class FROM (
+ SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY c IS NULL AND name NOT LIKE '%cold%' AND name LIKE '%widget%' ORDER BY name) AS k FROM r2)""")
+def capped_classes(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.format_string(" %08d", "p_partkey")).alias("name"))
+    rules = [("first", ["bolt"], ["widget"]), ("second", ["cold"], []), ("third", [], ["widget"])]
+    return catalogue.capped_classes(rows, "name", rules, 40, "rest").select("p_partkey", "class")
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS counter FROM orders")
+def running_counter(spark, d):
+    return catalogue.running_counter(table(spark, d, "orders"), "o_custkey", ["o_orderkey"]).select("o_orderkey", "counter")
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1)::BIGINT AS position, ((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) % 7)::INT AS turn FROM orders")
+def round_robin(spark, d):
+    return catalogue.round_robin(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 7).select("o_orderkey", "position", "turn")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT regexp_matches(upper(p_name), 'COLD|BOLT') AND NOT ((p_size, p_partkey % 4) IN ((24, 0), (10, 1)))")
+def seed_filters(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("name"), F.col("p_size").alias("width"), (F.col("p_partkey") % 4).alias("height"))
+    return catalogue.without_sizes(catalogue.without_marks(rows, "name", ("COLD", "BOLT")), [(24, 0), (10, 1)]).select("p_partkey")
+
+
+@query("WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) FILTER (n >= 2)::BIGINT AS clusters, coalesce(sum(n) FILTER (n >= 2), 0)::BIGINT AS clustered, count(*) FILTER (n = 1)::BIGINT AS \"unique\" FROM s")
+def cluster_stats(spark, d):
+    return catalogue.cluster_stats(table(spark, d, "orders"), "o_custkey")
