@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions.columns import content_digest, embedding_confidence
 from tessera.operators import reports
-from tessera.operators.cluster import build_groups
+from tessera.operators.cluster import group_members
 from tessera.operators.pairs import canonical_rows, cosine_candidates, ivf_candidates, near_duplicates, skip_decided, star_edges, tier_split, upgrade_deferred
 from tessera.runtime import materialize, python_workers
 from tessera.sources.files import discover
@@ -127,11 +127,12 @@ def run(spark: SparkSession, folder: str, config: Config, embed: Callable | None
         candidates_n, passed_n = near.count(), accepted.count()
     tell("groups", 0.8)
     rejected = materialize(rejected.withColumn("threshold", F.lit(config.color_distance_threshold)), "rejected")
-    groups = materialize(build_groups(edges, rejected.select(F.col("path_a").alias("a"), F.col("path_b").alias("b"))), "groups")
-    report, stock = reports.group_report(groups), reports.inventory(images, groups)
+    members = materialize(group_members(edges, rejected.select(F.col("path_a").alias("a"), F.col("path_b").alias("b"))), "groups")
+    groups = members.groupBy("group_id", "confidence", "match_type").agg(F.array_sort(F.collect_list("file_path")).alias("members"))
+    report, stock = reports.group_report(members), reports.inventory(images, members)
     counts = {
-        "total_images": images.count(), "groups_found": groups.count(), "images_in_groups": report.count(), "runtime_seconds": round(time.time() - began, 2), "stage2_matched": matched.count(),
+        "total_images": images.count(), "groups_found": members.where("file_path = representative").count(), "images_in_groups": report.count(), "runtime_seconds": round(time.time() - began, 2), "stage2_matched": matched.count(),
         "stage2_phash_candidates": tiers.count(), "stage3_clip_candidates": candidates_n, "stage4_passed": passed_n, "stage4_rejected": rejected.count(),
     }
     tell("done", 1.0)
-    return Result(groups, report, stock, reports.summary(images, groups), reports.telemetry(counts, rejected), rejected)
+    return Result(groups, report, stock, reports.summary(images, members), reports.telemetry(counts, rejected), rejected)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import model_stem
+from tessera.operators.ordering import positions
 from tessera.operators.pairs import hamming_join
 from tessera.runtime import discard, materialize
 
@@ -77,19 +78,6 @@ def running_counter(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("counter", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with position: 0, 1, ... in the given order, from a range partitioning and one offset for each partition."""
-    spark = rows.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    laid = materialize(laid, "positions").withColumn("__part", F.shiftright("__id", 33))
-    counts = sorted((r["__part"], r["n"]) for r in laid.groupBy("__part").agg(F.count("*").alias("n")).collect())
-    starts = [(part, sum(n for q, n in counts if q < part)) for part, _ in counts]
-    offsets = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))  # one row for each partition
-    joined = laid.join(offsets, "__part").withColumn("position", F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    return joined.drop("__part", "__start", "__id")
-
-
 def round_robin(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """rows with position and turn: the position modulo n."""
     return positions(rows, order).withColumn("turn", F.pmod("position", F.lit(n)).cast("int"))

@@ -7,8 +7,8 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tessera.operators.ordering import numbered_groups
 from tessera.runtime import discard, materialize
 
 #: Rank of match types, the strongest last.
@@ -86,10 +86,17 @@ def split_component(nodes: set, edges: list[tuple], banned: set[tuple], floor: i
 
 
 def build_groups(edges: DataFrame, rejected: DataFrame | None = None, floor: int = 45) -> DataFrame:
-    """Duplicate groups of edges (a, b, confidence, match_type) under cannot-link pairs (a, b): group_id, members, confidence, match_type.
+    """group_members with the members of a group as one sorted array, for groups that fit a row: group_id, members, confidence, match_type."""
+    return group_members(edges, rejected, floor).groupBy("group_id", "confidence", "match_type").agg(F.array_sort(F.collect_list("file_path")).alias("members")).select("group_id", "members", "confidence", "match_type")
 
-    Exact pairs collapse to their smallest member first; what remains is split by
-    component with split_component; groups of one collapse away unless an exact class
+
+def group_members(edges: DataFrame, rejected: DataFrame | None = None, floor: int = 45) -> DataFrame:
+    """Duplicate groups of edges (a, b, confidence, match_type) under cannot-link pairs (a, b), a row for each member: group_id, file_path, representative, group_size, confidence, match_type.
+
+    Exact pairs collapse to their smallest member first.  Components without a
+    cannot-link pair or a weak edge and with enough density stand, by aggregates of
+    their edges; only the others are split, one by one, with split_component, whose
+    cuts depend on each other.  Groups of one collapse away unless an exact class
     stands behind them.  A group's confidence and type are the maxima over its edges;
     ids count from 1 by confidence, size (both falling) and first member.
     """
@@ -116,10 +123,18 @@ def build_groups(edges: DataFrame, rejected: DataFrame | None = None, floor: int
         parts = split_component(nodes, links, {(r.a, r.b) for r in pdf[pdf.banned].itertuples()}, floor)
         return pd.DataFrame([(n, min(p)) for p in parts for n in p], columns=["rep", "part"])
 
-    parts = labelled.groupBy("component").applyInPandas(prune, f"rep {kind}, part {kind}")
+    # what split_component accepts at its first look needs no task that holds it
+    n = F.col("n")
+    dense = 2 * F.col("links") / (n * (n - 1)) >= F.when(n == 2, 0.0).when(n == 3, 0.65).otherwise(0.70)
+    seen = labelled.groupBy("component").agg(F.count_if(~F.col("banned")).alias("links"), F.min("confidence").alias("weakest"), F.count_if("banned").alias("bans"))
+    sound = seen.join(whole.groupBy("component").agg(F.count("*").alias("n")), "component").where((F.col("bans") == 0) & (F.col("weakest") >= floor) & dense)
+    sound = materialize(sound.select("component"), "sound")
+    standing = whole.join(sound, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    split = labelled.join(sound, "component", "left_anti").groupBy("component").applyInPandas(prune, f"rep {kind}, part {kind}")
+    parts = standing.unionByName(split)
     members = rep.select("node", "rep").unionByName(quotient.select(F.col("a").alias("rep")).unionByName(quotient.select(F.col("b").alias("rep"))).distinct().join(rep.select(F.col("rep").alias("r2")).distinct(), F.col("rep") == F.col("r2"), "left_anti").select(F.col("rep").alias("node"), "rep"))
     placed = materialize(members.join(parts, "rep", "left").select("node", F.coalesce("part", "rep").alias("part")).distinct(), "placed")
     inner = pairs.join(placed.toDF("a", "part"), "a").join(placed.toDF("b", "p2"), "b").where("part = p2").groupBy("part").agg(F.max("confidence").alias("confidence"), F.max("rank").alias("rank"))
-    groups = placed.groupBy("part").agg(F.array_sort(F.collect_set("node")).alias("members")).where(F.size("members") >= 2).join(inner, "part")
-    order = Window.orderBy(F.desc("confidence"), F.desc(F.size("members")), F.element_at("members", 1))
-    return groups.select(F.row_number().over(order).alias("group_id"), "members", "confidence", type_name(F.col("rank")).alias("match_type"))
+    groups = placed.groupBy("part").agg(F.min("node").alias("representative"), F.count("*").alias("group_size")).where("group_size >= 2").join(inner, "part")
+    groups = numbered_groups(groups.withColumn("match_type", type_name(F.col("rank"))).drop("rank"))
+    return placed.join(groups, "part").select("group_id", F.col("node").alias("file_path"), "representative", "group_size", "confidence", "match_type")

@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import dot, hamming, hash_confidence
+from tessera.operators.ordering import numbered_groups
 from tessera.runtime import materialize, python_workers
 
 
 def exact_groups(rows: DataFrame, key: str = "exact_hash", member: str = "path") -> DataFrame:
-    """(key, members sorted, group_size, representative) of keys with two members at least."""
-    found = rows.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    return found.select(key, "members", F.size("members").alias("group_size"), F.element_at("members", 1).alias("representative")).where("group_size >= 2")
+    """(key, representative, group_size) of keys with two members at least: partial aggregates only, so a key with a third of all rows is no burden. Null keys form no group."""
+    found = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(member).alias("representative"), F.count_distinct(member).alias("group_size"))
+    return found.where("group_size >= 2")
+
+
+def exact_members(rows: DataFrame, key: str = "exact_hash", member: str = "path", confidence: int = 100) -> DataFrame:
+    """A row for each member of an exact group: group_id, file_path, representative, group_size, confidence, match_type."""
+    found = exact_groups(rows, key, member).withColumns({"confidence": F.lit(confidence), "match_type": F.lit("exact")})
+    members = rows.select(key, F.col(member).alias("file_path")).where("file_path is not null").distinct()
+    return members.join(numbered_groups(found), key).select("group_id", "file_path", "representative", "group_size", "confidence", "match_type")
 
 
 def exact_pairs(rows: DataFrame, key: str = "exact_hash", member: str = "path", confidence: int = 100) -> DataFrame:

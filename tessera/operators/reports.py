@@ -9,18 +9,17 @@ from tessera.functions.columns import base_name, size_kb
 from tessera.operators.cluster import TYPES
 
 
-def group_report(groups: DataFrame) -> DataFrame:
-    """A row for each member of groups (group_id, members, confidence, match_type)."""
-    rows = groups.select("group_id", F.explode("members").alias("file_path"), "confidence", "match_type", F.size("members").alias("group_size"))
-    return rows.select("group_id", "file_path", base_name("file_path").alias("file_name"), "confidence", "match_type", "group_size")
-
-
-def inventory(images: DataFrame, groups: DataFrame) -> DataFrame:
-    """A row for each of images (path, length, sha256): the first member of a group is its master, others are duplicates, the rest unique."""
-    member = groups.select("group_id", "confidence", "match_type", F.size("members").alias("group_size"), F.posexplode("members").alias("at", "member"))
-    rows = images.select("path", "length", "sha256").join(member, F.col("path") == F.col("member"), "left")
-    status = F.when(F.col("group_id").isNull(), "UNIQUE").when(F.col("at") == 0, "CANONICAL_MASTER").otherwise("DUPLICATE")
-    action = F.when(F.col("group_id").isNull(), "KEEP_UNIQUE").when(F.col("at") == 0, "KEEP_MASTER").otherwise("ARCHIVE_DUPLICATE")
+def group_report(members: DataFrame) -> DataFrame:
+    """The report of members (group_id, file_path, representative, group_size, confidence, match_type)."""
+    return members.select("group_id", "file_path", base_name("file_path").alias("file_name"), "confidence", "match_type", "group_size")
+
+
+def inventory(images: DataFrame, members: DataFrame) -> DataFrame:
+    """A row for each of images (path, length, sha256): a group's representative is its master, others are duplicates, the rest unique."""
+    rows = images.select("path", "length", "sha256").join(members, F.col("path") == F.col("file_path"), "left").drop("file_path")
+    master = F.col("path") == F.col("representative")
+    status = F.when(F.col("group_id").isNull(), "UNIQUE").when(master, "CANONICAL_MASTER").otherwise("DUPLICATE")
+    action = F.when(F.col("group_id").isNull(), "KEEP_UNIQUE").when(master, "KEEP_MASTER").otherwise("ARCHIVE_DUPLICATE")
     return rows.select(
         base_name("path").alias("file_name"), status.alias("status"), action.alias("recommended_action"), "group_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), "confidence",
         F.coalesce("match_type", F.lit("none")).alias("match_type"), size_kb("length").alias("file_size_kb"), F.col("sha256").alias("sha256_hash"), F.col("path").alias("file_path"),
@@ -32,10 +31,11 @@ def inventory_order():
     return [rank, F.coalesce("group_id", F.lit(999_999)), F.col("file_name"), F.col("file_path")]
 
 
-def summary(images: DataFrame, groups: DataFrame) -> DataFrame:
+def summary(images: DataFrame, members: DataFrame) -> DataFrame:
     """(metric, value) as text: five totals, then a count for each match type."""
     total = images.agg(F.count("*").alias("total"))
-    counted = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.size("members")), F.lit(0)).alias("grouped"), *[F.count_if(F.col("match_type") == t).alias(t) for t in TYPES])
+    first = F.col("file_path") == F.col("representative")
+    counted = members.agg(F.count_if(first).alias("groups"), F.count("*").alias("grouped"), *[F.count_if(first & (F.col("match_type") == t)).alias(t) for t in TYPES])
     row = total.crossJoin(counted)  # one row each
     metrics = {
         "total_images": F.col("total"), "duplicate_groups": F.col("groups"), "images_in_groups": F.col("grouped"), "unique_images": F.col("total") - F.col("grouped"),
@@ -45,9 +45,9 @@ def summary(images: DataFrame, groups: DataFrame) -> DataFrame:
     return row.select(F.explode(pairs).alias("m")).select("m.*")
 
 
-def kpis(images: DataFrame, groups: DataFrame, rejected: DataFrame) -> DataFrame:
+def kpis(images: DataFrame, members: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row: total, grouped, unique, overlap percent, blocked pairs."""
-    row = images.agg(F.count("*").alias("total")).crossJoin(groups.agg(F.coalesce(F.sum(F.size("members")), F.lit(0)).cast("long").alias("grouped"))).crossJoin(rejected.agg(F.count("*").alias("blocked")))
+    row = images.agg(F.count("*").alias("total")).crossJoin(members.agg(F.count("*").alias("grouped"))).crossJoin(rejected.agg(F.count("*").alias("blocked")))
     return row.select("total", "grouped", F.greatest(F.lit(0), F.col("total") - F.col("grouped")).alias("unique"), F.round(100.0 * F.col("grouped") / F.greatest(F.col("total"), F.lit(1)), 1).alias("overlap_pct"), "blocked")
 
 

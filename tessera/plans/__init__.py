@@ -29,11 +29,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.format_string("doc/%010d", "doc_id").alias("path"), F.sha2("text", 256).alias("exact_hash"), F.octet_length("text").alias("length"))
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    """Exact groups of documents in the shape of the engine's groups, numbered by size and first member."""
-    found = pairs.exact_groups(_docs(spark, d))
-    order = Window.orderBy(F.desc("group_size"), "representative")
-    return found.select(F.row_number().over(order).alias("group_id"), "members", F.lit(100).alias("confidence"), F.lit("exact").alias("match_type"))
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the exact groups of documents, numbered by size and first member."""
+    return pairs.exact_members(_docs(spark, d))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -58,13 +56,13 @@ TOPK = f"{SIMS}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
 HAMMING = f"WITH {SIGS} SELECT a.id AS a, b.id AS b, bit_count(xor(a.p, b.p))::INT AS p_dist, bit_count(xor(a.d, b.d))::INT AS d_dist FROM sigs a, sigs b WHERE a.id < b.id AND bit_count(xor(a.p, b.p)) <= 18 AND bit_count(xor(a.d, b.d)) <= 22"
 
 
-@query(f"WITH {GROUPS} SELECT exact_hash, members[1] AS representative, len(members)::INT AS group_size FROM raw")
-def exact_groups(spark, d):
+@query(f"WITH {GROUPS} SELECT exact_hash, members[1] AS representative, len(members)::BIGINT AS group_size FROM raw")
+def exact_members(spark, d):
     return pairs.exact_groups(_docs(spark, d)).select("exact_hash", "representative", "group_size")
 
 
 @query("SELECT md5(text) AS digest, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-def md5_groups(spark, d):
+def md5_members(spark, d):
     return table(spark, d, "documents").where("text is not null").groupBy(c.content_digest("text", "md5").alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -156,39 +154,39 @@ def connected_components(spark, d):
 
 
 @query()
-def constrained_groups(spark, d):
+def constrained_members(spark, d):
     near = pairs.cosine_candidates(_vectors(spark, d), 10, 0.35)
     edges = near.select("a", "b", F.bround(100 * F.col("similarity"), 0).cast("int").alias("confidence"), F.lit("near_exact").alias("match_type"))
     return cluster.build_groups(edges, near.where("(a + b) % 7 = 0").select("a", "b"), floor=30)
 
 
-@query(f"WITH {GROUPS} SELECT group_id::INT AS group_id, path AS file_path, regexp_extract(path, '([^/]*)$', 1) AS file_name, 100 AS confidence, 'exact' AS match_type, group_size::INT AS group_size FROM member")
+@query(f"WITH {GROUPS} SELECT group_id::BIGINT AS group_id, path AS file_path, regexp_extract(path, '([^/]*)$', 1) AS file_name, 100 AS confidence, 'exact' AS match_type, group_size::BIGINT AS group_size FROM member")
 def group_report(spark, d):
-    return reports.group_report(_groups(spark, d))
+    return reports.group_report(_members(spark, d))
 
 
 @query(f"""WITH {GROUPS} SELECT regexp_extract(docs.path, '([^/]*)$', 1) AS file_name, CASE WHEN nth IS NULL THEN 'UNIQUE' WHEN nth = 0 THEN 'CANONICAL_MASTER' ELSE 'DUPLICATE' END AS status,
-CASE WHEN nth IS NULL THEN 'KEEP_UNIQUE' WHEN nth = 0 THEN 'KEEP_MASTER' ELSE 'ARCHIVE_DUPLICATE' END AS recommended_action, group_id::INT AS group_id, coalesce(group_size, 1)::INT AS group_size,
+CASE WHEN nth IS NULL THEN 'KEEP_UNIQUE' WHEN nth = 0 THEN 'KEEP_MASTER' ELSE 'ARCHIVE_DUPLICATE' END AS recommended_action, group_id::BIGINT AS group_id, coalesce(group_size, 1)::BIGINT AS group_size,
 CASE WHEN nth IS NULL THEN NULL ELSE 100 END AS confidence, CASE WHEN nth IS NULL THEN 'none' ELSE 'exact' END AS match_type, coalesce(round_even(length / 1024.0, 1), 0.0)::DOUBLE AS file_size_kb, exact_hash AS sha256_hash, docs.path AS file_path FROM docs LEFT JOIN member USING (path)""")
 def inventory(spark, d):
-    return reports.inventory(_docs(spark, d).withColumnRenamed("exact_hash", "sha256"), _groups(spark, d))
+    return reports.inventory(_docs(spark, d).withColumnRenamed("exact_hash", "sha256"), _members(spark, d))
 
 
 @query(f"""WITH {GROUPS}, t AS (SELECT (SELECT count(*) FROM docs) AS total, (SELECT count(*) FROM grp) AS g, (SELECT count(*) FROM member) AS m)
 SELECT unnest(['total_images', 'duplicate_groups', 'images_in_groups', 'unique_images', 'redundant_images', 'groups_exact', 'groups_near_exact', 'groups_embedding_color_verified']) AS metric,
 unnest([total::VARCHAR, g::VARCHAR, m::VARCHAR, (total - m)::VARCHAR, (m - g)::VARCHAR, g::VARCHAR, '0', '0']) AS value FROM t""")
 def summary(spark, d):
-    return reports.summary(_docs(spark, d), _groups(spark, d))
+    return reports.summary(_docs(spark, d), _members(spark, d))
 
 
 @query(f"WITH {GROUPS} SELECT (SELECT count(*) FROM docs)::BIGINT AS total, (SELECT count(*) FROM member)::BIGINT AS grouped, ((SELECT count(*) FROM docs) - (SELECT count(*) FROM member))::BIGINT AS \"unique\", round(100.0 * (SELECT count(*) FROM member) / (SELECT count(*) FROM docs), 1)::DOUBLE AS overlap_pct, 0::BIGINT AS blocked")
 def kpis(spark, d):
-    return reports.kpis(_docs(spark, d), _groups(spark, d), spark.createDataFrame([], "a long"))
+    return reports.kpis(_docs(spark, d), _members(spark, d), spark.createDataFrame([], "a long"))
 
 
-@query(f"WITH {GROUPS} SELECT group_id::INT AS group_id, 100 AS confidence, 'exact' AS match_type, group_size::INT AS group_size FROM grp ORDER BY group_id LIMIT 10 OFFSET 10")
-def page_of_groups(spark, d):
-    return reports.page(reports.group_report(_groups(spark, d)), 1, 10, ["high"], ["exact"])
+@query(f"WITH {GROUPS} SELECT group_id::BIGINT AS group_id, 100 AS confidence, 'exact' AS match_type, group_size::BIGINT AS group_size FROM grp ORDER BY group_id LIMIT 10 OFFSET 10")
+def page_of_members(spark, d):
+    return reports.page(reports.group_report(_members(spark, d)), 1, 10, ["high"], ["exact"])
 
 
 @query(f"WITH {DOCS} SELECT path FROM docs ORDER BY path LIMIT 25")
@@ -232,7 +230,7 @@ def color_fp_rate(spark, d):
 g AS (SELECT group_id, sum(n) AS n, sum(n * n) AS sq, count(*) AS k FROM a GROUP BY 1), s AS (SELECT (sum(sq - n) / 2)::BIGINT AS same, (sum(n * (n - 1)) / 2 - sum(sq - n) / 2)::BIGINT AS different, count(*) FILTER (k > 1)::BIGINT AS mixed_groups FROM g)
 SELECT same, different, mixed_groups, round(100.0 * same / (same + different), 2)::DOUBLE AS purity_pct FROM s""")
 def class_purity(spark, d):
-    members = reports.group_report(_groups(spark, d)).join(_docs(spark, d).select("doc_id", F.col("path").alias("file_path")), "file_path")
+    members = reports.group_report(_members(spark, d)).join(_docs(spark, d).select("doc_id", F.col("path").alias("file_path")), "file_path")
     return evaluate.purity(members.join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("label")), "doc_id").select("group_id", "label"))
 
 
@@ -272,7 +270,7 @@ def percentile_spread(spark, d):
 
 
 @query(r"WITH n AS (SELECT p_name || CASE p_partkey % 4 WHEN 0 THEN '_12' WHEN 1 THEN '_Angle3' WHEN 2 THEN '_ORIGINAL_x' ELSE ' (2)' END AS name FROM part) SELECT trim(lower(regexp_replace(name, '(_[0-9]+|_angle[0-9]+|_view[0-9]+|_original.*|\s*\([0-9]+\))$', '', 'i'))) AS stem, count(*)::BIGINT AS n FROM n GROUP BY 1")
-def model_stem_groups(spark, d):
+def model_stem_members(spark, d):
     tail = F.when(F.col("p_partkey") % 4 == 0, "_12").when(F.col("p_partkey") % 4 == 1, "_Angle3").when(F.col("p_partkey") % 4 == 2, "_ORIGINAL_x").otherwise(" (2)")
     return table(spark, d, "part").groupBy(c.model_stem(F.concat("p_name", tail)).alias("stem")).agg(F.count("*").alias("n"))
 
@@ -314,8 +312,8 @@ def crop_style_asymmetric(spark, d):
 @query(f"""WITH {GROUPS}, j AS (SELECT count(*) AS total_images, (SELECT count(*) FROM grp) AS groups_found, (SELECT count(*) FROM member) AS images_in_groups FROM docs)
 SELECT total_images::INT AS total_images, groups_found::INT AS groups_found, images_in_groups::INT AS images_in_groups, 0 AS rejected FROM j""")
 def telemetry_counters(spark, d):
-    groups = _groups(spark, d)
-    counts = {"total_images": _docs(spark, d).count(), "groups_found": groups.count(), "images_in_groups": reports.group_report(groups).count()}
+    members = _members(spark, d)
+    counts = {"total_images": _docs(spark, d).count(), "groups_found": members.where("file_path = representative").count(), "images_in_groups": members.count()}
     none = spark.createDataFrame([], "stage string, path_a string, path_b string, color_distance double")
     return reports.telemetry(counts, none).select(*counts, F.size("rejected_pairs").alias("rejected"))
 
@@ -323,7 +321,7 @@ def telemetry_counters(spark, d):
 @query(f"WITH {GROUPS} SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS file_name FROM member JOIN docs USING (path) WHERE doc_id % 5 = 0")
 def control_violations(spark, d):
     controls = _docs(spark, d).where("doc_id % 5 = 0").select(c.base_name("path").alias("variant_file"))
-    return evaluate.violations(reports.group_report(_groups(spark, d)), controls)
+    return evaluate.violations(reports.group_report(_members(spark, d)), controls)
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:

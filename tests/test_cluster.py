@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from tessera.operators.cluster import build_groups, components, split_component
 
 EDGE = "a string, b string, confidence int, match_type string"
@@ -44,3 +46,27 @@ def test_empty(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r.node: r.component for r in components(edges).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_random_graphs_against_the_split(spark):
+    """Aggregates accept exactly the components that the split accepts at its first look."""
+    rng = random.Random(7)
+    edges, banned = [], []
+    for k in range(60):
+        names = [f"{k:02d}{c}" for c in "abcdef"[: rng.randint(2, 6)]]
+        edges += [(x, y, rng.randint(30, 100), "near_exact") for i, x in enumerate(names) for y in names[i + 1 :] if rng.random() < 0.8]
+        banned += [tuple(rng.sample(names, 2)) for _ in range(rng.random() < 0.3)]
+    want = []
+    for c in {r.component for r in components(spark.createDataFrame(edges, EDGE)).collect()}:
+        inside = [(a, b, conf) for a, b, conf, _ in edges if a[:2] == c[:2]]
+        nodes = {x for a, b, _ in inside for x in (a, b)}
+        for root in sorted(nodes):  # the parts of this prefix that are connected
+            part, todo = set(), [root]
+            while todo:
+                x = todo.pop()
+                if x not in part:
+                    part.add(x)
+                    todo += [b if a == x else a for a, b, _ in inside if x in (a, b)]
+            if root == min(part) == c:
+                want += [sorted(p) for p in split_component(part, [e for e in inside if e[0] in part], {(min(p), max(p)) for p in banned}) if len(p) > 1]
+    assert sorted(g[1] for g in groups(spark, edges, banned)) == sorted(want)
