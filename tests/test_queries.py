@@ -45,3 +45,9 @@ def test_ivf_recall(spark):
     exact = {(r.a, r.b) for r in plans.QUERIES["cosine_candidates"](spark, DATA).collect()}
     found = {(r.a, r.b) for r in plans.QUERIES["ivf_candidates"](spark, DATA).collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact)
+
+
+def test_bench_times_registered_queries():
+    import bench
+
+    assert set(bench.HEADLINES) <= set(plans.QUERIES)
