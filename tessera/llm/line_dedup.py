@@ -85,7 +85,7 @@ def _word_rows(batches):
 
 
 def _variants(batches):
-    """Each line itself (position -1) and all its variants with one word deleted; of a run of equal words the first is deleted."""
+    """Each line itself (position -1) and all its variants with one word deleted, one for each position: those of a run of equal words have one value at several places."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [])
         for k, body in zip(batch.column("lh").to_pylist(), batch.column("body"), strict=True):
@@ -97,10 +97,9 @@ def _variants(batches):
             inverse = _U(pow(_POWER, -1, 1 << 64))
             # words after the deleted one move down by one power
             values = mix(left[:-1] + (left[-1] - left[1:]) * inverse + _U(n - 1)).view(np.int64)
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            out[0].append(np.full(len(at) + 1, k, np.int64))
-            out[1].append(np.concatenate([[k], values[at]]))
-            out[2].append(np.concatenate([[-1], at]))
+            out[0].append(np.full(n + 1, k, np.int64))
+            out[1].append(np.concatenate([[k], values]))
+            out[2].append(np.arange(-1, n))
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
         yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2].astype(np.int64))], ["lh", "v", "pos"])
 

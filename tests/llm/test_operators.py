@@ -171,6 +171,17 @@ def test_lines(docs, nothing):
     assert line_digest(nothing).count() == 0
 
 
+def test_lines_with_runs_of_equal_words(spark):
+    later = "when the last boat came in again"
+    pairs = [
+        (f"it was very very late {later}", f"it was very quite late {later}"), ("0 0 0 1 0 0 0 0 9", "0 0 0 0 0 0 0 0 9"), ("7 7 7 7 7 7 7 7", "7 7 7 7 7 7 7 8"),
+        ("x x x x x x x x x", "x x x x x x x x x x"), ("5 5 5 5 5 5 5 5", "5 5 5 4 4 5 5 5"),
+    ]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = by_id(line_digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[2 * i + 1].n_near for i in range(len(pairs))] == [1, 1, 1, 1, 0] and not any(got[2 * i].n_near for i in range(len(pairs)))
+
+
 def test_pii(spark, docs, nothing):
     text = "a@b.co.uk..x@y.z 1.2.3.4.5.6.7.8 256.1.1.1 +1 (555) 555-1234 or 4539 1488 0343 6467 or 007.1.1.1 é@é"
     kinds = Counter(k for _, k, _ in base_spans(text))
