@@ -2,86 +2,119 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import discard, materialize
-
-#: Members of one hub that meet a single copy of its histogram; a larger hub is dealt out.
-SALT_ROWS = 5_000
+from tessera.runtime import materialize
 
+#: Cells of moves that a round approves or refuses as a whole, for each shard.
+CELLS = 256
 
-def _approved(wanted: dict[tuple[int, int], int], load: list[int], quota: float, slack: float) -> dict[tuple[int, int], float]:
-    """The share of each (from, to) flow that quotas allow: at most `slack` over the quota in any shard, whatever the order."""
-    shards = range(len(load))
-    arriving = {t: sum(n for (_, to), n in wanted.items() if to == t) for t in shards}
-    share = {t: 1.0 for t in shards}
-    for _ in range(20):  # arrivals shrink until what stays and comes fits; departures shrink with them
-        left = {s: sum(n * share[to] for (a, to), n in wanted.items() if a == s) for s in shards}
-        for t in shards:
-            if arriving[t]:
-                share[t] = min(share[t], max(0.0, (quota * (1 + slack) - load[t] + left[t]) / arriving[t]))
-    return {k: share[k[1]] for k in wanted}
 
+def _place(hubs: list[tuple[int, int, dict[int, int]]], quotas: list[int]) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]], list[int]]:
+    """(label of each hub that stays whole, (label, rows) pieces of the others, room left) for hubs (hub, rows, votes by label).
 
-def propagate_labels(members: DataFrame, shards: int, rounds: int = 6, slack: float = 0.02) -> DataFrame:
-    """(doc, label) for members (doc, hub), hub null for documents without links: a shard for each doc.
+    The largest hub moves first, to the label that most of its rows have among those
+    with room for all of it, or to the fullest of them if that cuts less in the end.
+    A hub that fits nowhere takes as few shards as room allows.
+    """
 
-    Labels start by the hash of the hub (of the document where there is none), so a
-    hub starts together unless it was split before.  In each round a hub's
-    members count labels (one partial aggregation: at most `shards` rows a hub), a
-    document asks to move to the label that most of its neighbours over all its hubs
-    have, and moves are approved by (from, to) flow up to the quotas; the flows are
-    shards * shards numbers, all that the driver sees.  Which documents of a partly
-    approved flow move is decided by the hub's hash, so a hub moves as a whole.
+    def attempt(by_votes: bool):
+        whole, cut, room = {}, {}, list(quotas)
+        for hub, rows, votes in sorted(hubs, key=lambda h: (-h[1], h[0])):
+            fits = [t for t in range(len(room)) if room[t] >= rows]
+            if fits:
+                whole[hub] = t = max(fits, key=lambda t: (votes.get(t, 0), zlib.crc32(f"{hub} {t}".encode()))) if by_votes else min(fits, key=lambda t: (room[t], -votes.get(t, 0), t))
+                room[t] -= rows
+                continue
+            cut[hub] = []
+            while rows:
+                t = min((t for t in range(len(room)) if room[t] >= rows), key=lambda t: (room[t], t), default=max(range(len(room)), key=lambda t: (room[t], -t)))
+                take = min(rows, room[t])
+                cut[hub].append((t, take))
+                room[t] -= take
+                rows -= take
+        return whole, cut, room
+
+    return min((attempt(True), attempt(False)), key=lambda x: sum(len(p) - 1 for p in x[1].values()))
+
+
+def propagate_labels(rows: DataFrame, quotas: list[int], rounds: int, exact: int = 64):
+    """(large, small, undecided, segments) for rows (doc, group_id): where groups of two rows or more go, under row quotas.
+
+    Each row's label starts by the hash of its doc; a group's rows count labels (one
+    partial aggregation), and the group asks to move to the label that most of its
+    rows have, of those with room for all of it.  Groups of more than 1 / exact of a
+    shard, at most exact * shards of them, are approved one by one by the driver.
+    The others move in rounds: requests are added up by (label, cell), and a cell of
+    a label is approved if its room takes the whole of it, so no quota is passed;
+    the driver sees CELLS * shards numbers.  Rows without links, groups that are cut
+    and groups that no round approved are the remainder, which fills the shards up.
+
+    large and small have hub, zone: the label, or len(quotas) + k for the k-th cut
+    group, and undecided for what no round approved; other rows come last.  segments are
+    (start, shard, slot) runs of the order by zone.
     """
-    spark = members.sparkSession
-    docs = members.groupBy("doc").agg(F.min("hub").alias("first_hub"))
-    labels = docs.select("doc", F.pmod(F.xxhash64(F.lit(0), F.coalesce(F.xxhash64("first_hub"), F.xxhash64("doc"))), F.lit(shards)).cast("int").alias("label"))
-    hubs = members.where("hub is not null")
-    sizes = hubs.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
-    linked = materialize(hubs.join(sizes, "hub").select("doc", "hub", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "linked")
-    labels = materialize(labels, "labels")
-    n = labels.count()
-    quota = n / shards
-    for turn in range(rounds if n else 0):
-        here = linked.join(labels, "doc")
-        histogram = here.groupBy("hub", "label").agg(F.count("*").alias("n"), F.first("salts").alias("salts"))
-        histogram = histogram.select("hub", F.col("label").alias("to"), "n", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        asks = linked.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).join(histogram, ["hub", "salt"])
-        votes = asks.groupBy("doc", "to").agg(F.sum("n").alias("n"), F.min("hub").alias("hub"))
-        best = votes.groupBy("doc").agg(F.max(F.struct("n", (-F.col("to")).alias("to"), "hub")).alias("v")).select("doc", (-F.col("v.to")).alias("to"), F.col("v.hub").alias("hub"))
-        moves = labels.join(best, "doc").where("label <> to")
-        moves = materialize(moves.select("doc", "label", "to", (F.pmod(F.xxhash64(F.lit(turn), "hub"), F.lit(1 << 20)) / (1 << 20)).alias("u")), "moves")
-        wanted = {(r["label"], r["to"]): r["n"] for r in moves.groupBy("label", "to").agg(F.count("*").alias("n")).collect()}
-        if not wanted:
-            discard(moves)
+    spark, shards, n = rows.sparkSession, len(quotas), sum(quotas)
+    start = F.pmod(F.xxhash64(F.lit(0), "doc"), F.lit(shards)).cast("int").alias("label")
+    votes = rows.select(F.col("group_id").alias("hub"), start).groupBy("hub", "label").agg(F.count("*").alias("n"))
+    hubs = votes.groupBy("hub").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("votes")).where("n > 1")
+    hubs = materialize(hubs, "hubs")
+    least = n / (exact * shards)
+    found = [(r["hub"], r["n"], r["votes"]) for r in hubs.where(F.col("n") > least).collect()]  # at most exact * shards rows
+    whole, cut, room = _place(found, quotas)
+    undecided = shards + len(cut)
+    zones = [*whole.items(), *((hub, shards + k) for k, hub in enumerate(cut))]
+    large = spark.createDataFrame(zones, "hub long, zone int")
+    left, settled = hubs.where(F.col("n") <= least), []
+    for turn in range(rounds):
+        rooms = F.array(*[F.lit(r).cast("long") for r in room])
+        mix = lambda t: F.xxhash64(F.lit(turn), "hub", t)  # noqa: E731, B023
+        ask = F.array_max(F.transform(rooms, lambda r, t: F.when(r >= F.col("n"), F.struct(F.coalesce(F.try_element_at("votes", t), F.lit(0)).alias("v"), mix(t).alias("x"), t.alias("to")))))  # noqa: B023
+        asks = left.withColumn("to", ask["to"]).withColumn("cell", F.pmod(mix(F.lit(-1)), F.lit(CELLS)).cast("int"))
+        asks = materialize(asks, "asks")
+        good = []
+        for r in sorted(asks.where("to is not null").groupBy("to", "cell").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["to"], r["cell"])):
+            if r["n"] <= room[r["to"]]:
+                room[r["to"]] -= r["n"]
+                good.append((r["to"], r["cell"]))
+        if not good:
+            left = asks.select("hub", "n", "votes")
             break
-        load = [0] * shards
-        for r in labels.groupBy("label").count().collect():
-            load[r["label"]] = r["count"]
-        allowed = _approved(wanted, load, quota, slack)
-        table = F.broadcast(spark.createDataFrame([(a, b, s) for (a, b), s in allowed.items()], "label int, to int, share double"))  # shards ** 2 rows
-        go = moves.join(table, ["label", "to"]).where("u < share").select("doc", "to")
-        after = materialize(labels.join(go, "doc", "left").select("doc", F.coalesce("to", "label").alias("label")), "labels")
-        moved = sum(wanted.values())
-        discard(moves, labels)
-        labels = after
-        if moved < n * 1e-4:
-            break
-    return labels
+        table = F.broadcast(spark.createDataFrame(good, "to int, cell int"))  # CELLS * shards rows
+        settled.append(asks.join(table, ["to", "cell"]).select("hub", F.col("to").alias("zone")))
+        left = asks.join(table, ["to", "cell"], "left_anti").select("hub", "n", "votes")
+    small = left.select("hub", F.lit(undecided).alias("zone"))
+    for s in settled:
+        small = small.unionByName(s)
+    # the order by zone: what each label holds, the pieces of cut groups, then the rest into what room is left, widest first
+    given = [0] * shards
+    for pieces in cut.values():
+        for t, rows_in in pieces:
+            given[t] += rows_in
+    used = [quotas[t] - room[t] - given[t] for t in range(shards)]
+    runs = [(t, used[t]) for t in range(shards)] + [x for pieces in cut.values() for x in pieces] + sorted(enumerate(room), key=lambda x: (-x[1], x[0]))
+    segments, position, slots = [], 0, [0] * shards
+    for t, rows_in in runs:
+        if rows_in:
+            segments.append((position, t, slots[t]))
+            position += rows_in
+            slots[t] += rows_in
+    return large, small, undecided, segments
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, seed: int = 5) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_id for each row of docs (doc_id, text).
 
     The law is `rows`: shard sizes differ by one row at most.  Documents with equal
-    texts are linked; label propagation gives each group a shard, then all rows are
-    laid out in the order (label, group, doc_id) and cut into equal runs, which meets
-    the quotas exactly and cuts no more than shards - 1 groups beyond those that
-    exceed a shard.  slot counts from 0 within a shard.
+    texts are linked; label propagation under the quotas gives each group a shard,
+    and the remainder, mostly rows without links, fills each shard up.  A group is
+    cut only if it exceeds a shard or no shard has room for it when it asks.  slot
+    counts from 0 within a shard.
 
-    The global order is one range partitioning on (label, group, row hash), so a
+    The global order is one range partitioning on (zone, group, row hash), so a
     group with a third of all rows is dealt out over many partitions; positions
     are a partition's offset (one row for each partition) plus the place in it.
 
@@ -97,14 +130,21 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, seed: in
     rows = docs.select(F.col("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"), group.alias("group_id"))
     rows = rows.withColumn("doc", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("group_id")))
     rows = materialize(rows, "shard")
-    labels = propagate_labels(rows.select("doc", F.col("group_id").alias("hub")).distinct(), shards, rounds)
-    placed = rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    return _cut(placed, shards, spark)
+    each, more = divmod(rows.count(), shards)
+    if not each + more:
+        return _cut(rows.withColumn("zone", F.lit(0)), [(0, 0, 0)], spark)
+    # the first n % shards shards hold one row more
+    large, small, undecided, segments = propagate_labels(rows.select("doc", "group_id"), [each + (t < more) for t in range(shards)], rounds)
+    placed = rows.join(F.broadcast(large.withColumnRenamed("zone", "large")), F.col("group_id") == F.col("hub"), "left").drop("hub")
+    # rows of large groups have their place and are dealt out by doc
+    key = F.when(F.col("large").isNull(), F.col("group_id")).otherwise(F.col("doc"))
+    placed = placed.withColumn("key", key).join(small.withColumnRenamed("hub", "key"), "key", "left")
+    return _cut(placed.withColumn("zone", F.coalesce("large", "zone", F.lit(undecided + 1))).drop("key", "large"), segments, spark)
 
 
-def _cut(placed: DataFrame, shards: int, spark) -> DataFrame:
+def _cut(placed: DataFrame, segments: list[tuple[int, int, int]], spark) -> DataFrame:
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = ["label", "group_id", "doc", "doc_id"]
+    keys = ["zone", "group_id", "doc", "doc_id"]
     laid = placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     laid = materialize(laid.withColumn("place", F.monotonically_increasing_id()), "laid")
     laid = laid.withColumn("part", F.shiftright("place", 33)).withColumn("inside", F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -115,12 +155,10 @@ def _cut(placed: DataFrame, shards: int, spark) -> DataFrame:
         n += count
     starts = F.broadcast(spark.createDataFrame(offsets, "part long, start long"))  # one row for each partition
     out = laid.join(starts, "part", "left").withColumn("position", F.col("start") + F.col("inside"))
-    # the first n % shards shards hold one row more
-    each, more = divmod(n, shards)
-    bound = more * (each + 1)
-    first = F.col("position") < bound
-    shard = F.when(first, F.floor(F.col("position") / (each + 1))).otherwise(F.floor((F.col("position") - bound) / max(1, each)) + more)
-    slot = F.when(first, F.pmod("position", F.lit(each + 1))).otherwise(F.pmod(F.col("position") - bound, F.lit(max(1, each))))
+    firsts, shards, slots = (F.array(*[F.lit(x).cast("long") for x in column]) for column in zip(*segments, strict=True))
+    out = out.withColumn("run", F.size(F.filter(firsts, lambda x: x <= F.col("position"))) - 1)
+    shard = F.get(shards, F.col("run")).cast("int")
+    slot = F.get(slots, F.col("run")) + F.col("position") - F.get(firsts, F.col("run"))
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_id", "label",
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_id", shard.alias("label"),
     )

@@ -240,6 +240,54 @@ def test_shards(docs, nothing):
     assert shard_documents(nothing).count() == 0
 
 
+def test_shards_keep_groups_whole(spark, monkeypatch):
+    from tessera.llm import sharding
+
+    sizes = [200] * 8 + [50] * 20 + [2] * 100 + [1] * 2_800
+    rows = [(i, f"text {g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain = sharding.propagate_labels
+    # all groups by the driver, most of them in rounds, and one text that fills three shards and a part of a fourth
+    for exact, docs, giants in ((64, table, 0), (1, table, 0), (64, table.withColumn("text", F.expr("if(doc_id >= 4500, 'x', text)")), 1)):
+        monkeypatch.setattr(sharding, "propagate_labels", lambda r, q, n, e=exact: plain(r, q, n, e))
+        got = shard_documents(docs, shards=16).collect()
+        held, each = defaultdict(set), Counter(r.shard for r in got)
+        for r in got:
+            held[r.group_id].add(r.shard)
+        assert len(got) == len(rows) and max(each.values()) - min(each.values()) <= 1
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in each.items())
+        assert sorted(len(s) for s in held.values() if len(s) > 1) == [4] * giants
+
+
+def test_placement_cuts_no_more_than_brute_force():
+    from tessera.llm.sharding import _place
+
+    def least(sizes, room):
+        """The fewest cuts, over all ways to take groups in turn and give each its pieces."""
+        if not sizes:
+            return 0
+        n, best = sizes[0], 99
+
+        def pieces(t, rest, left, k):
+            nonlocal best
+            if not rest:
+                best = min(best, k - 1 + least(sizes[1:], left))
+            elif t < len(left):
+                for x in range(min(rest, left[t]) + 1):
+                    pieces(t + 1, rest - x, [*left[:t], left[t] - x, *left[t + 1 :]], k + (x > 0))
+
+        pieces(0, n, list(room), 0)
+        return best
+
+    rng = random.Random(3)
+    for _ in range(40):
+        sizes = sorted((rng.randint(2, 7) for _ in range(rng.randint(1, 3))), reverse=True)
+        quota = -(-(sum(sizes) + rng.randint(0, 6)) // 3)
+        whole, cut, room = _place([(i, n, {i % 3: n}) for i, n in enumerate(sizes)], [quota] * 3)
+        assert sum(len(p) - 1 for p in cut.values()) == least(sizes, [quota] * 3), (sizes, quota)
+        assert all(sum(r for _, r in p) == sizes[h] for h, p in cut.items()) and min(room) >= 0 and len(whole) + len(cut) == len(sizes)
+
+
 def test_grammar():
     machine = Composition(TARGET, NEGATION, REPORT, HEAD)
     assert machine.read(list("OTOI")) == {"targeted", "insult"}
