@@ -193,8 +193,9 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, bands
        of a bucket.
     4. Buckets with several components left are dealt out by bucket, in pairs of
        blocks of BLOCK rows if large, and pairs of different components are
-       compared by size, signature, then sets inside the task: a link is never
-       lost, and no pair is written that isn't a link.
+       compared by size, signature, then sets inside the task: no pair is
+       written that isn't a link.  The signature check, here and in 3, loses a
+       link at similarity 0.8 with probability 4.6e-5 for the default sizes.
 
     Nulls: a row with a null doc_id links with nothing: component_id is null and it
     is kept.  Null, empty or blank text: n_shingles 0, a component of its own.
