@@ -37,7 +37,7 @@ def image_features(images: DataFrame, config: Config, embed: Callable | None = N
     embed(rgb) -> vector and background(rgb) -> alpha are hooks for models; without
     embed the embedding is null and no neighbours are looked for.
     """
-    python_workers(images.sparkSession, 16)
+    python_workers(images.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tessera.functions import images as im

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder for intermediate tables, and table access."""
+"""Session helpers: the shared folder for intermediate tables, table access, and what Python workers need."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
@@ -15,10 +17,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it may be unset, one made here."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _fallback:
         _fallback[key] = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{uuid.uuid4().hex}")
@@ -47,9 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_workers(spark: SparkSession, rows: int = 512) -> None:
-    """Make this package importable in Python workers, and keep Arrow batches to few rows, so that a batch of very long texts still fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of few rows and about `most` bytes (one row at least), so that what a worker makes of a part fits, however long texts are."""
+    for batch in batches:
+        each = max(1, batch.nbytes // max(1, len(batch)))
+        step = max(1, min(rows, most // each))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Make this package importable in Python workers."""
     key = spark.sparkContext.applicationId
     if key not in _shipped:
         root = Path(__file__).resolve().parent

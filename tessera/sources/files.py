@@ -56,7 +56,7 @@ def count_images(files: DataFrame, extensions: tuple[str, ...]) -> int:
 
 def unzip(archives: DataFrame, extensions: tuple[str, ...], max_bytes: int = 1 << 30) -> DataFrame:
     """(archive, path, content) of the image members of archives (path, content); absolute paths, parent steps and other files are left out."""
-    python_workers(archives.sparkSession, 4)
+    python_workers(archives.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
