@@ -6,9 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.wordhash import mix, space_words, text_buffer, words
-from tessera.runtime import discard, materialize, python_workers
+from tessera.operators.ordering import positions
+from tessera.operators.skew import hot_join
+from tessera.runtime import discard, materialize, python_workers, slices
 
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
@@ -53,7 +56,7 @@ class _Lines:
 
 
 def _line_rows(batches):
-    for batch in batches:
+    for batch in slices(batches):
         t = _Lines(batch.column("text"))
         n = t.hi - t.lo
         long_, short = n // 2, (n - 1) // 2
@@ -71,37 +74,56 @@ def _line_rows(batches):
 
 
 def _word_rows(batches):
-    """The words of the wanted lines of each document."""
-    for batch in batches:
-        wanted = [set(w) for w in batch.column("wanted").to_pylist()]
+    """The words of the wanted lines of each document, with the lines' numbers and which halves they share."""
+    for batch in slices(batches):
+        wanted = [{w["lh"]: w for w in row} for row in batch.column("wanted").to_pylist()]
         t = _Lines(batch.column("text"))
-        keys, bodies = [], []
+        found, bodies = [], []
         for i, k, lo, hi in zip(t.row.tolist(), t.keys(t.lo, t.hi).tolist(), t.lo.tolist(), t.hi.tolist(), strict=True):
-            if k in wanted[i]:
-                wanted[i].discard(k)
-                keys.append(k)
+            if w := wanted[i].pop(k, None):
+                found.append(w)
                 bodies.append(t.hashes[lo:hi].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["lh", "body"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w["num"] for w in found], pa.int64()), pa.array([w["lh"] for w in found], pa.int64()), pa.array([w["head"] for w in found], pa.bool_()), pa.array([w["tail"] for w in found], pa.bool_()), pa.array(bodies, pa.binary())],
+            ["num", "lh", "head", "tail", "body"],
+        )
+
+
+#: Places of a row of variants that stand for the line itself, and for a pair that a task found by itself.
+WHOLE, PAIR = -1, -2
 
 
 def _variants(batches):
-    """Each line itself (position -1) and all its variants with one word deleted, one for each position: those of a run of equal words have one value at several places."""
+    """(v, pos, num): each line itself, and its variants with one word deleted, one for each position that can differ from a line with which it shares a half.
+
+    Of the lines of a batch with one variant only the earliest goes on; the others
+    have it as a partner already (pos PAIR, v the partner's number).
+    """
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [])
-        for k, body in zip(batch.column("lh").to_pylist(), batch.column("body"), strict=True):
+        value, place, number = [], [], []
+        rows = zip(batch.column("num").to_pylist(), batch.column("lh").to_pylist(), batch.column("head").to_pylist(), batch.column("tail").to_pylist(), batch.column("body"), strict=True)
+        inverse = _U(pow(_POWER, -1, 1 << 64))
+        for num, key, head, tail, body in rows:
             h = np.frombuffer(body.as_buffer(), _U)
             n = len(h)
-            power = _powers(n)
-            term = h * power
-            left = np.concatenate([[_U(0)], np.cumsum(term, dtype=_U)])
-            inverse = _U(pow(_POWER, -1, 1 << 64))
+            left = np.concatenate([[_U(0)], np.cumsum(h * _powers(n), dtype=_U)])
             # words after the deleted one move down by one power
             values = mix(left[:-1] + (left[-1] - left[1:]) * inverse + _U(n - 1)).view(np.int64)
-            out[0].append(np.full(n + 1, k, np.int64))
-            out[1].append(np.concatenate([[k], values]))
-            out[2].append(np.arange(-1, n))
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2].astype(np.int64))], ["lh", "v", "pos"])
+            part = (n - 1) // 2
+            lo, hi = 0 if tail else part, n if head else n - part
+            value.append(np.concatenate([[key], values[lo:hi]]))
+            place.append(np.concatenate([[WHOLE], np.arange(lo, hi)]))
+            number.append(np.full(hi - lo + 1, num, np.int64))
+        if not value:
+            continue
+        v, pos, num = (np.concatenate(x).astype(np.int64) for x in (value, place, number))
+        order = np.lexsort((num, pos, v))
+        v, pos, num = v[order], pos[order], num[order]
+        again = np.zeros(len(v), bool)
+        again[1:] = (v[1:] == v[:-1]) & (pos[1:] == pos[:-1])
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(v))))
+        v, pos = np.where(again, num[first], v), np.where(again, PAIR, pos)
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(pos), pa.array(num)], ["v", "pos", "num"])
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -120,7 +142,7 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _confirm(batches):
-    for batch in batches:
+    for batch in slices(batches):
         good = [within_one(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("lh").filter(pa.array(good, pa.bool_()))], ["lh"])
 
@@ -136,62 +158,73 @@ def line_decisions(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, Data
 
     1. Lines collapse to distinct sequences by one partial aggregation.
     2. Two sequences within one edit share the first or the last half, so only
-       sequences that share a half with another go on (four keys a line).
-    3. These emit the hashes of all variants with a word deleted.  Equal variants at
-       the same place mean a replacement, a variant equal to a line an insertion; the
-       earliest line of each variant is a minimum, so no pair inside a group is made.
-    4. Each line and its earliest partner are compared word by word.
+       sequences that share a half with another go on (four keys a line), numbered
+       by first occurrence.
+    3. These emit the hashes of variants with a word deleted, in the part that they
+       don't share.  Equal variants at the same place mean a replacement, a variant
+       equal to a line an insertion.  A batch keeps the earliest line of a variant
+       and pairs the others with it, so of a template's lines one for each batch
+       meets the others; variants are shuffled once, and a running window pairs
+       each line with the earliest of its variant.
+    4. Each pair is compared word by word.
 
     Rows with a null doc_id, null, empty or blank texts have no lines here and lose
-    none; rows that repeat a doc_id count as one document.
+    none; rows that repeat a doc_id count as one document.  An empty table has no
+    lines.
     """
     spark = docs.sparkSession
     python_workers(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     lines = materialize(base.mapInArrow(_line_rows, "doc_id long, line long, lh long, n long, halves array<bigint>"), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    distinct = materialize(lines.groupBy("lh").agg(first, F.first("n").alias("n"), F.first("halves").alias("halves")), "distinct")
-    halves = distinct.where(F.col("n") >= min_words).select("lh", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    near = halves.join(shared, "half").select("lh").distinct()
-    near = materialize(distinct.join(near, "lh", "left_semi").select("lh", "first"), "near")
-    wanted = near.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("lh").alias("wanted"))
-    bodies = materialize(base.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_word_rows, "lh long, body binary").dropDuplicates(["lh"]), "bodies")
-    variants = bodies.mapInArrow(_variants, "lh long, v long, pos long").join(near, "lh")
-    variants = materialize(variants, "variants")
-    here = F.col("pos") >= 0
-    who = F.struct("first", "lh")
-    places = variants.where(here).groupBy("v", "pos").agg(F.min(who).alias("same"), F.count("*").alias("c")).where("c > 1")
-    whole = variants.groupBy("v").agg(F.min(F.when(~here, who)).alias("line"), F.min(F.when(here, who)).alias("cut")).where("line is not null and cut is not null")
-    replaced = variants.where(here).join(places, ["v", "pos"]).where("first > same.first").select("lh", F.col("same.lh").alias("other"))
-    joined = variants.join(whole, "v")
-    shorter = joined.where(here & (F.col("first") > F.col("line.first"))).select("lh", F.col("line.lh").alias("other"))
-    longer = joined.where(~here & (F.col("first") > F.col("cut.first"))).select("lh", F.col("cut.lh").alias("other"))
-    pairs = replaced.unionByName(shorter).unionByName(longer).distinct()
-    x, y = bodies.select("lh", F.col("body").alias("x")), bodies.select(F.col("lh").alias("other"), F.col("body").alias("y"))
-    gone = materialize(pairs.join(x, "lh").join(y, "other").select("lh", "x", "y").mapInArrow(_confirm, "lh long").distinct(), "gone")
-    discard(bodies, variants, near)
-    state = distinct.select("lh", "first").join(gone.withColumn("near", F.lit(True)), "lh", "left")
-    again = lines.groupBy("lh").agg(F.count("*").alias("c")).where("c > 1").select("lh", F.lit(True).alias("again"))
-    state = state.join(again, "lh", "left").where("near or again").select("lh", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    distinct = materialize(lines.groupBy("lh").agg(first, F.count("*").alias("c"), F.first("n").alias("n"), F.first("halves").alias("halves")), "distinct")
+    halves = materialize(distinct.where(F.col("n") >= min_words).select("lh", "first", F.posexplode("halves").alias("i", "half")), "halves")
+    shared = materialize(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    near = hot_join(halves, shared, ["half"], "c").groupBy("lh", "first").agg(F.max(F.col("i") % 2 == 0).alias("head"), F.max(F.col("i") % 2 == 1).alias("tail"))
+    near = positions(near.select("lh", "first.doc_id", "first.line", "head", "tail"), ["doc_id", "line"]).withColumnRenamed("position", "num")
+    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("lh", "num", "head", "tail")).alias("wanted"))  # a document's own lines
+    bodies = base.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_word_rows, "num long, lh long, head boolean, tail boolean, body binary")
+    bodies = materialize(bodies.dropDuplicates(["num"]), "bodies")
+    rows = bodies.mapInArrow(_variants, "v long, pos long, num long").repartition("v")
+    order = Window.partitionBy("v").orderBy("pos", "num").rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy("v", "pos").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.first(F.when(F.col("pos") == WHOLE, F.col("num")), ignorenulls=True).over(order)
+    rows = rows.withColumn("line", line).withColumn("low", F.first("num").over(group))
+    found = F.when(F.col("pos") == PAIR, F.array("v")).when(F.col("pos") >= 0, F.array("low", "line")).otherwise(F.array().cast("array<bigint>"))
+    pairs = rows.select("num", F.explode(found).alias("other")).where("other is not null and num <> other")
+    pairs = materialize(pairs.select(F.greatest("num", "other").alias("num"), F.least("num", "other").alias("other")).distinct(), "pairs")
+    x = pairs.join(bodies.select("num", "lh", F.col("body").alias("x")).hint("merge"), "num").select("lh", "other", "x")
+    y = materialize(pairs.groupBy("other").agg(F.count("*").alias("c")).join(bodies.select(F.col("num").alias("other"), F.col("body").alias("y")).hint("merge"), "other"), "others")
+    gone = materialize(hot_join(x, y, ["other"], "c").select("lh", "x", "y").mapInArrow(_confirm, "lh long").distinct(), "gone")
+    discard(halves, shared, bodies, pairs, y)
+    state = distinct.select("lh", "first", "c").join(gone.withColumn("near", F.lit(True)).hint("merge"), "lh", "left")
+    state = state.where("near or c > 1").select("lh", "first", F.coalesce("near", F.lit(False)).alias("near"), "c")
     state = materialize(state, "state")
-    marked = lines.select("doc_id", "line", "lh").join(state, "lh").where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
+    discard(distinct, gone)
+    marked = hot_join(lines.select("doc_id", "line", "lh"), state, ["lh"], "c").where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
     return lines.select("doc_id", "line", "lh"), marked.select("doc_id", "line", "near")
 
 
 def line_digest(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """doc_id, n_lines, n_exact, n_near, n_kept of each document: lines with a word, those gone as equal, as near, and those that stay."""
+    """doc_id, n_lines, n_exact, n_near, n_kept of each row of docs: lines with a word, those gone as equal, as near, and those that stay.
+
+    A null doc_id or a text without words has zeros; rows that repeat a doc_id have
+    the same figures; an empty table gives an empty result.
+    """
     lines, dropped = line_decisions(docs, min_words)
-    dropped = materialize(dropped.distinct(), "dropped")
-    counts = lines.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    gone = dropped.groupBy("doc_id").agg(F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counts, "doc_id", "left").join(gone, "doc_id", "left")
+    marks = lines.select("doc_id", "line", F.lit(0).alias("gone")).unionByName(dropped.select("doc_id", "line", F.when(F.col("near"), 2).otherwise(1).alias("gone")))
+    each = marks.groupBy("doc_id", "line").agg(F.max("gone").alias("gone")).groupBy("doc_id")
+    counts = each.agg(F.count("*").alias("n_lines"), F.count_if(F.col("gone") == 1).alias("n_exact"), F.count_if(F.col("gone") == 2).alias("n_near"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counts.hint("merge"), "doc_id", "left")
     n = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_lines", "n_exact", "n_near")}
     return out.select("doc_id", *[v.alias(c) for c, v in n.items()], (n["n_lines"] - n["n_exact"] - n["n_near"]).alias("n_kept"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """docs without the lines that go; all columns kept, line ends between the lines that stay."""
+    """docs without the lines that go; all columns kept, line ends between the lines that stay.
+
+    Rows with a null doc_id or text stay as they are; a text that loses all its lines becomes empty.
+    """
     _, dropped = line_decisions(docs, min_words)
     gone = dropped.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
     return _clean(docs, gone)
