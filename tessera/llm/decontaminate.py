@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.wordhash import alnum_words, text_buffer, words
-from tessera.runtime import python_workers, materialize
+from tessera.runtime import discard, materialize, python_workers, slices
 
 _U = np.uint64
 #: Words of test items in one automaton; further items go to further automata, one pass each.
 BLOCK_WORDS = 200_000
-#: Bytes of test items that the driver reads at most.
-ITEM_BYTES = 512 << 20
+_RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_HIT = pa.struct([("n_words", pa.int64()), ("marks", _RANGES), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("cuts", _RANGES)])
+_HIT_SQL = "struct<n_words:bigint,marks:array<struct<a:bigint,b:bigint>>,items:array<string>,longest:bigint,cuts:array<struct<a:bigint,b:bigint>>>"
 
 
 class SuffixAutomaton:
@@ -127,157 +130,216 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(held, carry: list[str], keep_text: bool):
+def _cuts(data: np.ndarray, base: int, start: np.ndarray, end: np.ndarray, w0: int, merged: list[tuple[int, int]]) -> list[dict]:
+    """Ranges of word positions as ranges of code points."""
+    out, at, seen = [], base, 0
+    for x, y in merged:
+        p, q = int(start[w0 + x]), int(end[w0 + y - 1])
+        # bytes that don't go on with a character begin one
+        seen += int(np.count_nonzero((data[at:p] & 0xC0) != 0x80))
+        size = int(np.count_nonzero((data[p:q] & 0xC0) != 0x80))
+        out.append({"a": seen, "b": seen + size})
+        seen, at = seen + size, q
+    return out
+
+
+def _matches(batch: pa.RecordBatch, block: tuple):
+    """(words of the batch's texts, by row: hit ranges, names, longest match)."""
+    vocabulary, pairs, shortest, automaton = block
+    data, offsets = text_buffer(batch.column("text"))
+    found_words = words(data, offsets, alnum_words())
+    _, _, hashes, first = found_words
+    found: dict[int, list] = {}
+    if len(vocabulary):
+        at = np.searchsorted(vocabulary, hashes)
+        at[at == len(vocabulary)] = 0
+        ids = np.where(vocabulary[at] == hashes, at + 1, 0)
+        # word i can go on to word i + 1 inside an item
+        text_of = np.repeat(np.arange(len(batch)), np.diff(first))
+        joined = ids[:-1] * (len(vocabulary) + 1) + ids[1:]
+        near = np.searchsorted(pairs, joined)
+        near[near == len(pairs)] = 0
+        follows = (pairs[near] == joined) & (text_of[:-1] == text_of[1:]) if len(pairs) else np.zeros(max(0, len(ids) - 1), bool)
+        known = ids > 0
+        begins = known.copy()
+        begins[1:] &= ~follows
+        ends = known.copy()
+        ends[:-1] &= ~follows
+        lo, hi = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        long_ = hi - lo >= shortest
+        for a, b in zip(lo[long_].tolist(), hi[long_].tolist(), strict=True):
+            hits, names, longest = automaton.stream(ids[a:b].tolist())
+            row, begin = found.setdefault(int(text_of[a]), [[], set(), 0]), a - int(first[text_of[a]])
+            row[2] = max(row[2], longest)
+            row[0] += [(x + begin, y + begin) for x, y in hits]
+            row[1] |= names
+    return data, offsets, found_words, found
+
+
+def _hits(batch: pa.RecordBatch, data, offsets, found_words, found) -> pa.Array:
+    start, end, _, first = found_words
+    rows = []
+    for i in range(len(batch)):
+        marks, names, longest = found.get(i, ((), (), 0))
+        merged = _merge(marks)
+        rows.append({
+            "n_words": int(first[i + 1] - first[i]), "marks": [{"a": x, "b": y} for x, y in merged], "items": sorted(names), "longest": longest,
+            "cuts": _cuts(data, int(offsets[i]), start, end, int(first[i]), merged),
+        })
+    return pa.array(rows, _HIT)
+
+
+def _scan(held, carry: list[str], name: str):
+    def run(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], _hits(batch, *_matches(batch, held.value))], [*carry, name])
+
+    return run
+
+
+def _scan_part(held):
+    """Only texts with a match, by key, for one of several blocks."""
+
     def run(batches):
-        vocabulary, pairs, shortest, automaton = held.value
-        table = alnum_words()
-        for batch in batches:
+        for batch in slices(batches):
+            _, _, _, found = _matches(batch, held.value)
+            at = [i for i, row in found.items() if row[0] or row[2]]
+            marks = [[{"a": x, "b": y} for x, y in _merge(found[i][0])] for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(at, pa.int64())), pa.array(marks, _RANGES), pa.array([sorted(found[i][1]) for i in at], pa.list_(pa.string())), pa.array([found[i][2] for i in at], pa.int64())],
+                ["key", "marks", "items", "longest"],
+            )
+
+    return run
+
+
+def _scan_merged(carry: list[str], name: str):
+    """Hits from what the blocks found in each text."""
+
+    def run(batches):
+        for batch in slices(batches):
             data, offsets = text_buffer(batch.column("text"))
-            start, end, hashes, first = words(data, offsets, table)
-            at = np.searchsorted(vocabulary, hashes)
-            at[at == len(vocabulary)] = 0
-            ids = np.where(vocabulary[at] == hashes, at + 1, 0) if len(vocabulary) else np.zeros(len(hashes), np.int64)
-            # word i can go on to word i + 1 inside an item
-            text_of = np.repeat(np.arange(len(batch)), np.diff(first))
-            joined = ids[:-1] * (len(vocabulary) + 1) + ids[1:]
-            near = np.searchsorted(pairs, joined)
-            near[near == len(pairs)] = 0
-            follows = (pairs[near] == joined) & (text_of[:-1] == text_of[1:]) if len(pairs) else np.zeros(max(0, len(ids) - 1), bool)
-            known = ids > 0
-            begins = known.copy()
-            begins[1:] &= ~follows
-            ends = known.copy()
-            ends[:-1] &= ~follows
-            lo, hi = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-            long_ = hi - lo >= shortest
-            found: dict[int, list] = {}
-            for a, b in zip(lo[long_].tolist(), hi[long_].tolist(), strict=True):
-                hits, names, longest = automaton.stream(ids[a:b].tolist())
-                row = found.setdefault(int(text_of[a]), [[], set(), 0])
-                row[2] = max(row[2], longest)
-                row[0] += [(x + a - int(first[text_of[a]]), y + a - int(first[text_of[a]])) for x, y in hits]
-                row[1] |= names
-            spans, names, longest, chars = [], [], [], []
-            for i in range(len(batch)):
-                old = batch.column("__marks")[i].as_py() if "__marks" in batch.schema.names else []
-                new = found.get(i, [[], set(), 0])
-                merged = _merge([(s["a"], s["b"]) for s in old] + new[0])
-                spans.append([{"a": x, "b": y} for x, y in merged])
-                names.append(sorted({*new[1], *(batch.column("__items")[i].as_py() if "__items" in batch.schema.names else [])}))
-                longest.append(max(new[2], batch.column("__longest")[i].as_py() if "__longest" in batch.schema.names else 0))
-                cut, w0 = [], int(first[i])
-                for x, y in merged:
-                    p, q = int(start[w0 + x]), int(end[w0 + y - 1])
-                    base = int(offsets[i])
-                    before = len(data[base:p].tobytes().decode("utf-8", "surrogatepass"))
-                    cut.append({"a": before, "b": before + len(data[p:q].tobytes().decode("utf-8", "surrogatepass"))})
-                chars.append(cut)
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            out = [batch.column(c) for c in carry] + ([batch.column("text")] if keep_text else [])
-            out += [pa.array(np.diff(first).astype(np.int64)), pa.array(spans, kind), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(chars, kind)]
-            yield pa.RecordBatch.from_arrays(out, carry + ["text"] * keep_text + ["__n_words", "__marks", "__items", "__longest", "__cuts"])
+            found = {}
+            for i, parts in enumerate(batch.column("parts").to_pylist()):
+                if parts:
+                    found[i] = ([(m["a"], m["b"]) for p in parts for m in p["marks"]], {x for p in parts for x in p["items"]}, max(p["longest"] for p in parts))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], _hits(batch, data, offsets, words(data, offsets, alnum_words()), found)], [*carry, name])
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[tuple]:
-    """Automata over the items (item_id, text), each over block_words words at most or one item."""
+def _block(items: list[tuple[str, np.ndarray]], window: int) -> tuple:
+    vocabulary = np.unique(np.concatenate([h for _, h in items]))
+    coded = [(name, (np.searchsorted(vocabulary, h) + 1)) for name, h in items]
+    pairs = np.unique(np.concatenate([c[:-1] * (len(vocabulary) + 1) + c[1:] for _, c in coded]))
+    return vocabulary, pairs, min(window, min(len(c) for _, c in coded)), SuffixAutomaton([(n, c.tolist()) for n, c in coded], window)
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[tuple]:
+    """Automata over the items (item_id, text), each over block_words words at most or one item, one after the other: the driver holds one partition of items and one block."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total > ITEM_BYTES:
-        raise ValueError(f"benchmark texts of {total} bytes exceed {ITEM_BYTES}; split the benchmark")
-    batch = pa.Table.from_batches(items.toArrow().to_batches() or []) if total else None
-    if batch is None or not len(batch):
-        return []
-    batch = batch.combine_chunks().to_batches()[0]
-    data, offsets = text_buffer(batch.column("text"))
-    _, _, hashes, first = words(data, offsets, alnum_words())
-    groups: list[list[tuple[str, np.ndarray]]] = [[]]
-    size = 0
-    for i, name in enumerate(batch.column("name").to_pylist()):
-        h = hashes[first[i] : first[i + 1]]
+    held, size = [], 0
+    for row in items.toLocalIterator():
+        data, offsets = text_buffer(pa.array([row["text"]], pa.string()))
+        _, _, h, _ = words(data, offsets, alnum_words())
         if not len(h):
             continue
         if size and size + len(h) > block_words:
-            groups.append([])
-            size = 0
-        groups[-1].append((name, h))
+            yield _block(held, window)
+            held, size = [], 0
+        held.append((row["name"], h))
         size += len(h)
-    blocks = []
-    for group in groups:
-        if group:
-            vocabulary = np.unique(np.concatenate([h for _, h in group]))
-            coded = [(name, (np.searchsorted(vocabulary, h) + 1)) for name, h in group]
-            pairs = np.unique(np.concatenate([c[:-1] * (len(vocabulary) + 1) + c[1:] for _, c in coded]))
-            shortest = min(window, min(len(c) for _, c in coded))
-            blocks.append((vocabulary, pairs, shortest, SuffixAutomaton([(n, c.tolist()) for n, c in coded], window)))
-    return blocks
+    if held:
+        yield _block(held, window)
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Where docs (doc_id, text) hold windows of the test items (item_id, text).
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, carry: tuple[str, ...] = ("doc_id",), name: str = "hit", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The columns `carry` of docs (doc_id, text), and in the struct `name` where the text holds windows of the test items (item_id, text).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
     lower-cased.  A window is `window` consecutive words of one item, or the whole
-    item if that is shorter; a word inside any occurrence is hit.  Adds __n_words,
-    __marks (hit ranges of word positions), __items (names of items with occurring
-    windows, sorted as strings), __longest (words of the longest match with any
-    item), __cuts (hit ranges in code points, end exclusive).
-
-    One narrow pass over whole texts, without a shuffle: words that no item holds,
-    and word pairs that no item holds, end a run before the automaton sees it.
-    Items beyond block_words words make further automata, one pass each, so what
-    is broadcast stays bounded.  Null or empty texts have no words; items without
-    words are left out; a null item_id counts as an empty name; an empty benchmark
-    hits nothing.
+    item if that is shorter; a word inside any occurrence is hit.  The struct has
+    n_words, marks (hit ranges of word positions), items (names of items with
+    occurring windows, sorted as strings), longest (words of the longest match with
+    any item) and cuts (hit ranges in code points, end exclusive).
+
+    Up to block_words words of items make one automaton and one narrow pass over
+    whole texts, without a shuffle: words that no item holds, and word pairs that no
+    item holds, end a run before the automaton sees it.  Further items make further
+    automata, built one at a time; each makes a pass over the texts that writes only
+    its matches, by the text's hash, and these are merged by text in the end, so no
+    benchmark is too large and the driver holds one block.  Null or empty texts have
+    no words; items without words are left out; a null item_id counts as an empty
+    name; an empty benchmark or table hits nothing.
     """
     spark = docs.sparkSession
     python_workers(spark)
-    carry_ = list(carry)
-    source = docs.select(*carry_, F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{c}` {dict(source.dtypes)[c]}" for c in carry_)
-    tail = "__n_words long, __marks array<struct<a:bigint,b:bigint>>, __items array<string>, __longest long, __cuts array<struct<a:bigint,b:bigint>>"
-    blocks = benchmark_blocks(benchmark, window, block_words) or [(np.zeros(0, _U), np.zeros(0, np.int64), window, None)]
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        text = keep_text or not last
-        source = source.mapInArrow(_scan(spark.sparkContext.broadcast(block), carry_, text), f"{fields}{', text string' * text}, {tail}")
-        if not last:
-            source = materialize(source, "decontaminate").drop("__n_words", "__cuts")
-    return source
-
-
-def contaminated(percent: int = 5):
+    kinds = dict(docs.dtypes)
+    fields = ", ".join([*[f"`{c}` {kinds[c]}" for c in carry], f"`{name}` {_HIT_SQL}"])
+    blocks = benchmark_blocks(benchmark, window, block_words)
+    one = next(blocks, (np.zeros(0, _U), np.zeros(0, np.int64), window, None))
+    two = next(blocks, None)
+    text = F.col("text").cast("string").alias("text")
+    if two is None:
+        columns = [F.col(f"`{c}`") for c in carry if c != "text"]
+        return docs.select(*columns, text).mapInArrow(_scan(spark.sparkContext.broadcast(one), list(carry), name), fields)
+    key = F.concat(F.md5(F.coalesce(text, F.lit(""))), F.xxhash64(text).cast("string"))
+    keyed, parts = docs.select(key.alias("key"), text), []
+    while one is not None:
+        held = spark.sparkContext.broadcast(one)
+        parts.append(materialize(keyed.mapInArrow(_scan_part(held), "key string, marks array<struct<a:bigint,b:bigint>>, items array<string>, longest bigint").dropDuplicates(["key"]), "block"))
+        held.destroy()
+        one, two = two, next(blocks, None) if two is not None else None
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merged = materialize(every.groupBy("key").agg(F.collect_list(F.struct("marks", "items", "longest")).alias("parts")), "blocks")  # one entry for each block at most
+    discard(*parts)
+    if "parts" in carry:
+        raise ValueError("a carried column can't be named parts")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry if c != "text"], text).alias("row")
+    joined = docs.select(row, key.alias("key")).join(merged, "key", "left").select("row.*", "parts")
+    return joined.mapInArrow(_scan_merged(list(carry), name), fields)
+
+
+def n_hit(name: str = "hit"):
+    return F.aggregate(f"{name}.marks", F.lit(0).cast("long"), lambda n, m: n + m["b"] - m["a"])
+
+
+def contaminated(percent: int = 5, name: str = "hit"):
     """A document is contaminated if at least percent of its words, and at least one, are hit."""
-    n_hit = F.aggregate("__marks", F.lit(0).cast("long"), lambda n, m: n + m["b"] - m["a"])
-    return (n_hit > 0) & (100 * n_hit >= percent * F.col("__n_words"))
+    return (n_hit(name) > 0) & (100 * n_hit(name) >= percent * F.col(f"{name}.n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, mode: str = "drop") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, mode: str = "drop", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without contamination, all columns kept: mode "drop" leaves contaminated documents out, "cut" cuts the hit spans out of their texts.
 
-    Documents under the coverage limit stay as they are.  Rows with null or empty texts stay.
+    Documents under the coverage limit stay as they are.  Rows with null or empty
+    texts stay; columns may have any names; an empty table or benchmark changes nothing.
     """
+    if mode not in ("drop", "cut"):
+        raise ValueError(f"mode {mode!r} is neither 'drop' nor 'cut'")
     names = docs.columns
-    hits = benchmark_hits(docs, benchmark, window, tuple(c for c in names if c != "text"), True)
+    # columns go by number inside, so that no name can clash
+    inner = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(names)}
+    hits = benchmark_hits(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), benchmark, window, tuple(inner.values()), "hit", block_words)
     if mode == "drop":
-        return hits.where(~contaminated(percent)).select(*names)
-    if mode != "cut":
-        raise ValueError(f"mode {mode!r} is neither 'drop' nor 'cut'")
-    step = F.aggregate(
-        "__cuts",
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda s, c: F.struct(F.concat(s["done"], F.col("text").substr((s["at"] + 1).cast("int"), (c["a"] - s["at"]).cast("int"))).alias("done"), c["b"].alias("at")),
-        lambda s: F.concat(s["done"], F.col("text").substr((s["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    return hits.withColumn("text", F.when(contaminated(percent), step).otherwise(F.col("text"))).select(*names)
+        hits = hits.where(~contaminated(percent))
+    else:
+        step = F.aggregate(
+            "hit.cuts",
+            F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
+            lambda s, c: F.struct(F.concat(s["done"], F.col("text").substr((s["at"] + 1).cast("int"), (c["a"] - s["at"]).cast("int"))).alias("done"), c["b"].alias("at")),
+            lambda s: F.concat(s["done"], F.col("text").substr((s["at"] + 1).cast("int"), F.lit(2147483647))),
+        )
+        hits = hits.withColumn("text", F.when(contaminated(percent), step).otherwise(F.col("text")))
+    return hits.select(*[F.col(n).alias(c) for c, n in inner.items()])
 
 
-def benchmark_digest(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
+def benchmark_digest(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words; 0 where nothing is hit) of each document."""
-    hits = benchmark_hits(docs, benchmark, window)
-    n_hit = F.aggregate("__marks", F.lit(0).cast("long"), lambda n, m: n + m["b"] - m["a"])
+    hits = benchmark_hits(docs, benchmark, window, block_words=block_words)
     return hits.select(
-        "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        contaminated(percent).alias("contaminated"), F.when(n_hit > 0, F.col("__longest")).otherwise(0).alias("longest_match"),
+        "doc_id", "hit.n_words", n_hit().alias("n_hit"), F.size("hit.items").cast("long").alias("n_items"), F.sha2(F.array_join("hit.items", ","), 256).alias("items_sha256"),
+        contaminated(percent).alias("contaminated"), F.when(n_hit() > 0, F.col("hit.longest")).otherwise(0).alias("longest_match"),
     )
