@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import discard, materialize, python_workers
+from tessera.operators.skew import hot_join
+from tessera.runtime import discard, materialize, python_workers, slices
 
 KINDS = ("email", "ip", "card", "phone", "found")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -17,8 +18,12 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s,;:()<>\"']*[0-9@][^\s,;:()<>\"']*")
+_RUN = re.compile(r"[^\s,;:()<>\"']+")
+_SIGN = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\W\d_]+")
+_LABEL = re.compile(r"([^\W\d_]+)\s*([:=#])[\s\"'(<]*$")
+#: Characters of a token that can be an identifier.
+SHORTEST, LONGEST = 6, 64
 
 
 def luhn(digits: str) -> bool:
@@ -58,74 +63,109 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _shape(value: str) -> str:
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "0", value.lower()))[:24]
+def tokens(text: str):
+    """(start, end) of identifier-like tokens: runs without white space or brackets that hold a digit or @, of SHORTEST to LONGEST characters without closing stops. One pass, whatever the runs' lengths."""
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        while e > s and text[e - 1] in ".!?":
+            e -= 1
+        if SHORTEST <= e - s <= LONGEST and _SIGN.search(text, s, e):
+            yield s, e
 
 
-def _context(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the lexical patterns around a span: two words before it, and the word on each side."""
-    left = _WORD.findall(text[max(0, start - 60) : start].lower())[-2:]
-    right = _WORD.findall(text[end : end + 40].lower())[:1]
+def shape(value: str) -> str:
+    """Digits as 0, runs of letters as a."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "0", value.lower()))[:LONGEST]
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns around a span: two words before it, a word on each side, a label with its sign, and the word before with the span's shape."""
+    before = text[max(0, start - 60) : start].lower()
+    left, right = _WORD.findall(before)[-2:], _WORD.findall(text[end : end + 40].lower())[:1]
     out = []
     if len(left) == 2:
         out.append("L " + " ".join(left))
     if left and right:
         out.append(f"B {left[-1]} _ {right[0]}")
-    return [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in out]
+    if label := _LABEL.search(before):
+        out.append(f"K {label[1]}{label[2]}")
+    if left:
+        out.append(f"S {left[-1]} {shape(text[start:end])}")
+    return out
+
+
+def _key(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
 
 def _scan(batches):
-    for batch in batches:
-        spans, found = [], []
+    for batch in slices(batches):
+        spans, found, keys = [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
+            keys.append(_key(text))
             base = base_spans(text)
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
             rows, i = [], 0
-            for s, k, e in base:
-                rows.append({"start": s, "end": e, "seed": True, "value": xxhash.xxh3_64_intdigest(text[s:e]) - (1 << 63), "shape": f"{k}", "patterns": _context(text, s, e)})
-            for m in _TOKEN.finditer(text):
-                s, e = m.span()
-                while e > s and text[e - 1] in ".!?":
-                    e -= 1
+            for s, _, e in base:
+                rows.append({"start": s, "end": e, "seed": True, "value": _key(text[s:e]), "patterns": [_key(p) for p in contexts(text, s, e)]})
+            for s, e in tokens(text):
                 while i < len(base) and base[i][2] <= s:
                     i += 1
-                if e - s >= 6 and not any(b[0] < e and s < b[2] for b in base[i : i + 8]):
-                    rows.append({"start": s, "end": e, "seed": False, "value": xxhash.xxh3_64_intdigest(text[s:e]) - (1 << 63), "shape": _shape(text[s:e]), "patterns": _context(text, s, e)})
+                if not any(b[0] < e and s < b[2] for b in base[i : i + 8]):
+                    rows.append({"start": s, "end": e, "seed": False, "value": _key(text[s:e]), "patterns": [_key(p) for p in contexts(text, s, e)]})
             found.append(rows)
         span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        hit = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("value", pa.int64()), ("shape", pa.string()), ("patterns", pa.list_(pa.int64()))]))
-        keys = [pa.array([xxhash.xxh3_64_intdigest(t or "") - (1 << 63) for t in batch.column("text").to_pylist()], pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *keys, pa.array(spans, span), pa.array(found, hit)], ["doc_id", "k", "base", "hits"])
+        hit = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(spans, span), pa.array(found, hit)], ["doc_id", "k", "base", "hits"])
 
 
-def bootstrap(hits: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
+def bootstrap(hits: DataFrame, rounds: int = 4, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """(value) of unseen identifiers, from hits (value, seed, patterns).
 
-    Edges join a pattern with the distinct values that it surrounds.  A pattern's
-    score is the mean score of its values if it has `support` distinct seed values;
-    a value's score is the best of its patterns, a seed's is 1.  Each round is two
-    partial aggregations and an equi-join on edges, written to the shared folder.
+    Edges join a pattern with the distinct values that it surrounds.  A pattern is
+    trusted once `support` distinct values of it are known and they are `confidence`
+    of all its values; known are the seeds and, from the second round on, the values
+    that some other trusted pattern surrounds, so no pattern feeds on what it found
+    itself, and found values help further patterns.  Rounds end when no pattern is
+    new; a value that a trusted pattern surrounds is found.
+
+    Each round is a partial aggregation by pattern and one by value, each joined back
+    to the edges with hot patterns and hot values dealt out, and written to the
+    shared folder.  Patterns with fewer than `support` values can never be trusted
+    and are left out at once.  No hits give no values.
     """
     edges = hits.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.max("seed").alias("seed"))
-    strong = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n")).where((F.col("seeds") >= support) & (F.col("n") > F.col("seeds")))
-    edges = materialize(edges.join(strong.select("pattern"), "pattern").withColumn("score", F.col("seed").cast("double")), "graph")
+    edges = materialize(edges, "edges")
+    many = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"), F.count("*").alias("c")).where((F.col("n") >= support) & (F.col("open") > 0)).drop("open")
+    many = materialize(many, "patterns")
+    graph = materialize(hot_join(edges, many, ["pattern"], "c").withColumn("good", F.lit(0)).withColumn("on", F.lit(False)), "graph")
+    discard(edges, many)
+    trusted = 0
     for _ in range(rounds):
-        patterns = edges.groupBy("pattern").agg(F.avg("score").alias("p"))
-        scored = edges.select("value", "pattern", "seed").join(patterns, "pattern")
-        values = scored.groupBy("value").agg(F.max("p").alias("best"))
-        after = materialize(scored.join(values, "value").select("pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("score")), "graph")
-        discard(edges)
-        edges = after
-    return edges.where(~F.col("seed") & (F.col("score") >= confidence)).select("value").distinct()
-
-
-def extract_pii(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
+        known = F.col("seed") | (F.col("good") > F.col("on").cast("int"))
+        patterns = graph.groupBy("pattern").agg(F.count_if(known).alias("known"), F.max("n").alias("n"), F.max("on").alias("was"), F.count("*").alias("c"))
+        patterns = patterns.select("pattern", (F.col("was") | ((F.col("known") >= support) & (F.col("known") >= confidence * F.col("n")))).alias("now"), "c")
+        patterns = materialize(patterns, "patterns")
+        count = patterns.where("now").count()
+        if count == trusted:
+            discard(patterns)
+            break
+        trusted = count
+        marked = materialize(hot_join(graph.drop("on", "good"), patterns, ["pattern"], "c").withColumnRenamed("now", "on"), "marked")
+        values = materialize(marked.groupBy("value").agg(F.count_if("on").cast("int").alias("good"), F.count("*").alias("c")), "values")
+        after = materialize(hot_join(marked, values, ["value"], "c").select("value", "pattern", "seed", "n", "good", "on"), "graph")
+        discard(graph, patterns, marked, values)
+        graph = after
+    return graph.where(~F.col("seed") & (F.col("good") > 0)).select("value").distinct()
+
+
+def extract_pii(docs: DataFrame, rounds: int = 4, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found for each row of docs (doc_id, text).
 
     Base spans are leftmost non-overlapping matches of each kind, failing ones
     dropped.  They seed the bootstrap over the contexts of all identifier-like tokens
-    (a digit or @, six characters or more) of the corpus; tokens that strong patterns
+    (a digit or @, 6 to 64 characters) of the corpus; tokens that trusted patterns
     surround are added as kind `found` where they overlap no base span.
 
     One pass over whole texts, linear in their length; the graph holds only contexts
@@ -136,12 +176,16 @@ def extract_pii(docs: DataFrame, rounds: int = 3, support: int = 5, confidence:
     python_workers(spark)
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
-    hit = "array<struct<start:bigint,end:bigint,seed:boolean,value:bigint,shape:string,patterns:array<bigint>>>"
+    hit = "array<struct<start:bigint,end:bigint,seed:boolean,value:bigint,patterns:array<bigint>>>"
     rows = materialize(source.mapInArrow(_scan, f"doc_id {kind}, k long, base array<struct<start:bigint,kind:int,end:bigint>>, hits {hit}"), "pii")
     each = rows.where(F.size("hits") > 0).dropDuplicates(["doc_id", "k"]).select("doc_id", "k", F.explode("hits").alias("h")).select("doc_id", "k", "h.*")
+    each = materialize(each, "hits")
     found = materialize(bootstrap(each, rounds, support, confidence), "found")
-    extra = each.where(~F.col("seed")).join(found, "value", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("k").alias("q"))
-    extra = extra.agg(F.collect_list(F.struct("start", F.lit(KINDS.index("found")).alias("kind"), "end")).alias("extra"))
+    open_ = each.where(~F.col("seed"))
+    times = materialize(open_.groupBy("value").agg(F.count("*").alias("c")).join(found.hint("merge"), "value"), "times")
+    extra = hot_join(open_, times, ["value"], "c").groupBy(F.col("doc_id").alias("d"), F.col("k").alias("q"))
+    extra = materialize(extra.agg(F.collect_list(F.struct("start", F.lit(KINDS.index("found")).alias("kind"), "end")).alias("extra")), "extra")
+    discard(each, found, times)
     out = rows.select("doc_id", "k", "base").join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("q")), "left")
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
