@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from tessera.llm.quality_rules import CLASSES, COMMON
-from tessera.llm.secrets import BASE, KINDS, OWNED
-
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
+#: From the contract: kind, pattern, group of the value, its least length. The last kind is the method's own: long tokens of URL-safe or plain base 64.
+SECRETS = (
+    ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("owned", r"[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24),
+)
+#: Capitals, digits, stops, marks; and frequent function words of English, German, French and Spanish.
+SIGNS = (r"[A-Z]", r"[0-9]", r"[.,;:?'\"()-]", r"[#*$%&|<>!@~^_=+\\/{}\[\]`]")
+FREQUENT = (
+    "the of and to in is that for was with on are as be this der die und den von zu das mit ist nicht ein auf "
+    "de la le et les des en un une que dans pour pas par el los las del se por con una su no para es lo"
+).split()
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -57,27 +69,26 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN
 
 
 def _secrets() -> str:
-    kinds = {**BASE, OWNED[0]: OWNED[1]}
     parts = [
-        f"SELECT doc_id, owner, '{kind}' AS kind, {KINDS.index(kind)} AS rank, {least} AS least, regexp_extract_all(text, {_quoted(p)}, 0) AS w, "
+        f"SELECT doc_id, owner, '{kind}' AS kind, {rank} AS rank, {least} AS least, regexp_extract_all(text, {_quoted(p)}, 0) AS w, "
         f"regexp_extract_all(text, {_quoted(p)}, {group}) AS v, string_split_regex(text, {_quoted(p)}) AS g FROM docs"
-        for kind, (p, group, least) in kinds.items()
+        for rank, (kind, p, group, least) in enumerate(SECRETS)
     ]
     size = lambda a: f"coalesce(list_sum(list_transform({a}, lambda x: length(x))), 0)"
     shown = "string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY lo, rank)"
-    counts = ", ".join(f"count_if(kind = '{k}') AS n_{k}" for k in BASE)
-    zeros = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)
+    counts = ", ".join(f"count_if(kind = '{k}') AS n_{k}" for k, _, _, _ in SECRETS[:3])
+    zeros = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k, _, _, _ in SECRETS[:3])
     return f"""WITH docs AS (SELECT doc_id, source AS owner, coalesce(text, '') AS text FROM documents),
 m AS ({" UNION ALL ".join(parts)}),
 i AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m),
 e AS (SELECT doc_id, owner, kind, rank, least, v[i] AS v, ({size("g[1:i]")} + {size("w[1:i - 1]")})::BIGINT AS lo, length(w[i]) AS n FROM i),
-each AS (SELECT doc_id, owner, kind, rank, v, lo, lo + n AS hi FROM e WHERE length(v) >= least AND (kind <> '{OWNED[0]}'
+each AS (SELECT doc_id, owner, kind, rank, v, lo, lo + n AS hi FROM e WHERE length(v) >= least AND (kind <> 'owned'
 OR regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 10)),
 held AS (SELECT v, owner, count(DISTINCT doc_id) AS n FROM each GROUP BY ALL),
 owners AS (SELECT v, count(*) AS owners, sum(n) AS repositories FROM held GROUP BY 1),
 known AS (SELECT each.*, owners = 1 AND repositories <= 5 AS live, owners >= 3 AS example FROM each JOIN owners USING (v)),
-base AS (SELECT * FROM known WHERE kind <> '{OWNED[0]}'),
-added AS (SELECT * FROM known k WHERE kind = '{OWNED[0]}' AND live AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = k.doc_id AND b.lo < k.hi AND k.lo < b.hi)),
+base AS (SELECT * FROM known WHERE kind <> 'owned'),
+added AS (SELECT * FROM known k WHERE kind = 'owned' AND live AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = k.doc_id AND b.lo < k.hi AND k.lo < b.hi)),
 kept AS (SELECT * FROM base UNION ALL SELECT * FROM added),
 b AS (SELECT doc_id, {counts}, {shown} AS base FROM base GROUP BY 1),
 k AS (SELECT doc_id, {shown} AS spans, count_if(live) AS n_live, count_if(example) AS n_example FROM kept GROUP BY 1)
@@ -86,12 +97,12 @@ FROM docs LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
 def _quality() -> str:
-    common = "[" + ", ".join(map(_quoted, COMMON)) + "]"
-    classes = ", ".join(f"len(regexp_extract_all(text, {_quoted(p)}))" for p in CLASSES.values())
+    common = "[" + ", ".join(map(_quoted, FREQUENT)) + "]"
+    classes = ", ".join(f"len(regexp_extract_all(text, {_quoted(p)}))" for p in SIGNS)
     spaces = r"len(regexp_extract_all(text, '[\x20\x09-\x0D]'))"
     part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END / 2"
     return f"""WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
-t AS (SELECT doc_id, lang, text, regexp_extract_all(text, {_SPACED}) AS w, [{spaces}, {classes}] AS seen,
+t AS (SELECT doc_id, lang, text, regexp_extract_all(text, {_SPACED}) AS w, regexp_extract_all(lower(text), {_SPACED}) AS lw, [{spaces}, {classes}] AS seen,
 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_SPACED})) AS lines FROM docs),
 k AS (SELECT doc_id, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS k FROM t),
 i AS (SELECT doc_id, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM k),
@@ -100,7 +111,7 @@ again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(rang
 n AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(w) AS base_failed,
 list_concat([length(text) - list_sum(seen)], seen) AS chars,
-list_concat([len(list_filter(w, lambda x: NOT list_contains({common}, x)))], list_transform({common}, lambda c: len(list_filter(w, lambda x: x = c)))) AS common
+list_concat([len(list_filter(lw, lambda x: NOT list_contains({common}, x)))], list_transform({common}, lambda c: len(list_filter(lw, lambda x: x = c)))) AS common
 FROM t LEFT JOIN again USING (doc_id)),
 bins AS (SELECT doc_id, lang, base_failed, 'chars' AS h, unnest(chars)::DOUBLE AS c, generate_subscripts(chars, 1) AS i FROM n
 UNION ALL SELECT doc_id, lang, base_failed, 'common', unnest(common)::DOUBLE, generate_subscripts(common, 1) FROM n),
@@ -108,11 +119,12 @@ p AS (SELECT *, coalesce(c / nullif(sum(c) OVER (PARTITION BY doc_id, h), 0), 0)
 r AS (SELECT lang, h, i, sum(c) AS c FROM bins WHERE NOT base_failed GROUP BY ALL),
 q AS (SELECT lang, h, i, coalesce(c / nullif(sum(c) OVER (PARTITION BY lang, h), 0), 0) AS q FROM r),
 d AS (SELECT doc_id, p.h, sqrt(greatest(sum({part("p", "q")} + {part("q", "p")}), 0)) AS d FROM p JOIN q ON p.lang IS NOT DISTINCT FROM q.lang AND p.h = q.h AND p.i = q.i GROUP BY ALL),
+noise AS (SELECT doc_id, n_words, sum(least(q / 2, 1 / (8 * ln(2) * greatest(n_words, 1)))) AS mean FROM n JOIN q ON n.lang IS NOT DISTINCT FROM q.lang WHERE h = 'common' GROUP BY ALL),
 far AS (SELECT doc_id, coalesce(max(d) FILTER (WHERE h = 'chars'), 0) AS cd, coalesce(max(d) FILTER (WHERE h = 'common'), 0) AS wd FROM docs LEFT JOIN d USING (doc_id) GROUP BY 1),
 size AS (SELECT lang, count(*) AS r_n FROM n WHERE NOT base_failed GROUP BY 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance,
-NOT base_failed AND NOT (n_words >= 50 AND coalesce(r_n, 0) >= 20 AND (cd > 0.3 OR wd > 0.75)) AS kept
-FROM n JOIN far USING (doc_id) LEFT JOIN size ON size.lang IS NOT DISTINCT FROM n.lang"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, round(wl, 6) AS word_limit,
+NOT base_failed AND NOT (n_words >= 50 AND coalesce(r_n, 0) >= 20 AND (cd > 0.3 OR wd > wl)) AS kept
+FROM n JOIN far USING (doc_id) LEFT JOIN (SELECT doc_id, sqrt(0.2 * 0.2 + mean + 3 * sqrt(2 * mean / (8 * ln(2) * greatest(n_words, 1)))) AS wl FROM noise) USING (doc_id) LEFT JOIN size ON size.lang IS NOT DISTINCT FROM n.lang"""
 
 
 ORACLES = {
