@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm.neardup import shingle_sets
 from tessera.llm.sampling import held_out, training_sample
 from tessera.llm.wordhash import mix
-from tessera.runtime import materialize, python_workers
+from tessera.runtime import materialize, python_workers, slices
 
 #: Closed-class words of the grammar (fixed values): English, German, French, Spanish.
 TARGETS = {"you", "your", "yours", "u", "they", "them", "he", "she", "him", "her", "du", "dich", "dir", "dein", "ihr", "euch", "sie", "tu", "te", "toi", "ton", "vous", "votre", "ils", "tú", "ti", "usted", "ustedes", "vosotros", "ellos"}
@@ -22,7 +22,9 @@ NEGATIONS = {"not", "no", "never", "nor", "isn't", "aren't", "nicht", "kein", "k
 REPORTS = {"said", "says", "wrote", "writes", "called", "calls", "quoted", "reported", "sagte", "sagt", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "dice", "escribió", "llamó"}
 THREATS = {"kill", "murder", "hurt", "destroy", "strangle", "töten", "umbringen", "schlagen", "tuer", "frapper", "matar", "golpear"}
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSES = re.compile(r"[.!?;:,\n]+")
+SENTENCES = re.compile(r"[.!?;\n]+")
+#: Signs and conjunction-like dashes that part the clauses of a sentence.
+CLAUSES = re.compile(r"[:,\"\u201c\u201d\u201e\u00ab\u00bb()]+|\s[-\u2013\u2014]\s")
 KINDS = ("plain", "targeted", "negated", "reported")
 SHORTEST, LONGEST = 4, 8
 
@@ -43,6 +45,11 @@ TARGET = Transducer({(0, "T"): 1}, {1: "targeted"})
 NEGATION = Transducer({(0, "N"): 1, (0, "I"): 2, (0, "H"): 2, (1, "I"): 3, (1, "H"): 3}, {3: "negated"})
 REPORT = Transducer({(0, "R"): 1}, {1: "reported"})
 HEAD = Transducer({(0, "I"): 1, (0, "H"): 2, (1, "H"): 2, (2, "I"): 2}, {1: "insult", 2: "threat"})
+#: Over the clauses of a sentence: h holds a head, r a report verb and two words more at most, s a report verb and more, b head and report, n is a negation alone, o anything else.
+#: Speech goes on to the end of the sentence ("He said: you are ..."),
+SPEECH = Transducer({(0, "r"): 1, (0, "s"): 1, (0, "b"): 1}, {1: "reported"})
+#: and, read from the end, a report or a negation reaches back to the clause before it ("..., he said", "..., not").
+BACK = Transducer({(0, "r"): 1, (0, "n"): 2, (1, "o"): 0, (1, "s"): 0, (1, "n"): 2, (2, "o"): 0, (2, "s"): 0, (2, "h"): 0, (2, "b"): 0, (2, "r"): 1}, {1: "reported", 2: "negated"})
 
 
 class Composition:
@@ -62,6 +69,18 @@ class Composition:
         return {p.outputs[x] for p, x in zip(self.parts, state, strict=True) if x in p.outputs}
 
 
+def sentence_marks(clauses: str) -> list[set[str]]:
+    """What SPEECH and BACK say of each clause from the clauses around it."""
+    out: list[set[str]] = [set() for _ in clauses]
+    for machine, order in ((SPEECH, range(len(clauses))), (BACK, range(len(clauses) - 1, -1, -1))):
+        state = 0
+        for i in order:
+            if state in machine.outputs:
+                out[i].add(machine.outputs[state])
+            state = machine.step(state, clauses[i])
+    return out
+
+
 def _grams(text: str) -> set[str]:
     """Words (closed by $) and their prefixes."""
     out: set[str] = set()
@@ -72,7 +91,7 @@ def _grams(text: str) -> set[str]:
 
 
 def _count_grams(batches):
-    for batch in batches:
+    for batch in slices(batches):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
             counts[y].update(_grams(text))
@@ -82,7 +101,7 @@ def _count_grams(batches):
 
 def _families(batches):
     """A min-hash of each text's three-word shingles: copies and most near copies share it."""
-    for batch in batches:
+    for batch in slices(batches):
         near = [int(mix(x).min().view(np.int64)) if len(x) else 0 for x in shingle_sets(batch.column("text"), 3)]
         yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("text"), pa.array(near, pa.int64())], ["y", "text", "near"])
 
@@ -154,6 +173,27 @@ class Grammar:
                 out[at] = (symbol, weight)
         return out
 
+    def sentence(self, low: str, begin: int, end: int, heads: dict[int, tuple[str, float]], starts: list[int]):
+        """(outputs, weights of insults) for each clause of the sentence that holds a head: its own reading and what the clauses around it say."""
+        told, kinds, found, i = [], [], [], 0
+        for stop in [*(m.start() for m in CLAUSES.finditer(low, begin, end)), end]:
+            symbols = []
+            for m in WORDS.finditer(low, begin, stop):
+                w = m.group()
+                symbols.append(heads[m.start()][0] if m.start() in heads else "T" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "O")
+            here = []
+            while i < len(starts) and starts[i] < stop:
+                here.append(starts[i])
+                i += 1
+            begin = stop
+            if not symbols:
+                continue
+            report = "R" in symbols
+            kinds.append("b" if here and report else "h" if here else ("r" if len(symbols) <= 3 else "s") if report else "n" if symbols[0] == "N" and len(symbols) <= 3 else "o")
+            told.append(self.machine.read(symbols))
+            found.append([heads[x][1] for x in here if heads[x][0] == "I"] if here else None)
+        return [(a | b, w) for a, b, w in zip(told, sentence_marks("".join(kinds)), found, strict=True) if w is not None]
+
     def features(self, text: str) -> list[float]:
         """By kind of matched clause the log of its summed weights, threats, clauses, and the share of words that are heads."""
         low = text.lower()
@@ -162,25 +202,19 @@ class Grammar:
             return [0.0] * (len(KINDS) + 3)
         sums = dict.fromkeys(KINDS, 0.0)
         threats = clauses = 0
-        borders = [m.start() for m in CLAUSES.finditer(low)] + [len(low)]
         starts = sorted(heads)
         i, begin = 0, 0
-        for end in borders:
-            here = []
-            while i < len(starts) and starts[i] < end:
-                here.append(starts[i])
-                i += 1
-            if here:
-                symbols = []
-                for m in WORDS.finditer(low, begin, end):
-                    w = m.group()
-                    symbols.append(heads[m.start()][0] if m.start() in heads else "T" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "O")
-                told = self.machine.read(symbols)
-                kind = "reported" if "reported" in told else "negated" if "negated" in told else "targeted" if "targeted" in told else "plain"
-                insults = [heads[x][1] for x in here if heads[x][0] == "I"]
-                sums[kind] += sum(insults)
-                threats += "threat" in told and "targeted" in told
-                clauses += bool(insults)
+        for end in [*(m.start() for m in SENTENCES.finditer(low)), len(low)]:
+            if i < len(starts) and starts[i] < end:
+                upto = i
+                while upto < len(starts) and starts[upto] < end:
+                    upto += 1
+                for told, insults in self.sentence(low, begin, end, heads, starts[i:upto]):
+                    kind = "reported" if "reported" in told else "negated" if "negated" in told else "targeted" if "targeted" in told else "plain"
+                    sums[kind] += sum(insults)
+                    threats += "threat" in told and "targeted" in told and kind != "reported"
+                    clauses += bool(insults)
+                i = upto
             begin = end
             if i == len(starts):
                 break
@@ -191,7 +225,7 @@ class Grammar:
 def _features(grammar_of):
     def run(batches):
         grammar = Grammar(grammar_of.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [grammar.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
@@ -219,7 +253,7 @@ def _score(model):
     def run(batches):
         lexicon, w = model.value
         grammar = Grammar(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([grammar.features(t or "") for t in batch.column("text").to_pylist()]).reshape(len(batch), len(KINDS) + 3)
             z = np.clip(x @ w[:-1] + w[-1], -30, 30) if len(batch) else np.zeros(0)
             clauses = (x[:, -2] > 0) if len(batch) else np.zeros(0, bool)
@@ -233,7 +267,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1500, ne
 
     The insult lexicon (words and stems) and the weights of the clause kinds are
     learnt from at most `positives` + `negatives` labelled rows whose crc32 mod 3
-    isn't 1, weighed to the share of positives among all such rows.  Scoring is one
+    isn't 1, weighed to the share of positives among all such rows.  A clause is
+    insulting, threatening, targeted, negated or reported by its own words and by
+    the clauses around it in the sentence.  Scoring is one
     narrow pass: an Aho-Corasick transducer finds lexicon words, and only clauses
     that hold one are read by the composed machines.  Whole texts are scored; null
     or empty texts get the score of a text without matches.  Without labels the
