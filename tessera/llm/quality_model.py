@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.sampling import held_out, training_sample
 from tessera.llm.wordhash import mix, text_buffer, words
-from tessera.runtime import python_workers
+from tessera.runtime import python_workers, slices
 
 _U = np.uint64
 #: Word buckets, vector length, and neighbours on each side that make a word's context.
@@ -74,7 +74,7 @@ def _contexts(batches):
     """Partial sums of context vectors, one row for each task: each word gets the index vectors of its neighbours and of its own form."""
     index = _index_vectors()
     sums = np.zeros((BUCKETS, WIDTH))
-    for batch in batches:
+    for batch in slices(batches):
         form, word, first = word_buckets(batch.column("text"))
         text_of = np.repeat(np.arange(len(batch)), np.diff(first))
         pairs = [form * BUCKETS + word, word * BUCKETS + form]
@@ -121,7 +121,7 @@ def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
 def _pooled(model):
     def run(batches):
         vectors = model.value
-        for batch in batches:
+        for batch in slices(batches):
             x = pool(batch.column("text"), vectors)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
@@ -173,7 +173,7 @@ class Network:
 def _score(model):
     def run(batches):
         vectors, network, prior = model.value
-        for batch in batches:
+        for batch in slices(batches):
             x = pool(batch.column("text"), vectors)
             s = network.probability(x) if network is not None else np.full(len(batch), 0.5)
             s = np.where(x[:, -1] > 0, s, prior)

@@ -19,7 +19,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     The share counts every labelled row outside the fold; only the sampled rows'
     texts are read into the model.  The ids are the only thing that is broadcast:
     positives + negatives rows at most.  Null labels and ids are left out; a doc_id
-    with several labels has the largest.
+    with several labels has the largest, and one with several rows the smallest text,
+    so the sample has positives + negatives rows at most.
     """
     rows = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     rows = rows.groupBy("id").agg(F.max("y").alias("y")).where(~held_out("id", folds, fold))
@@ -27,5 +28,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     order = F.xxhash64(F.lit(seed), "id")
     picked = rows.where("y = 1").orderBy(order, "id").limit(positives).unionByName(rows.where("y = 0").orderBy(order, "id").limit(negatives))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sample = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(F.broadcast(picked), "id").select("y", "text")
+    sample = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
     return materialize(sample.dropDuplicates(["y", "text"]).repartition(16, "text"), "sample"), counts.get(1, 0) / max(1, sum(counts.values()))
