@@ -3,59 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import decontaminate
-from tessera.llm.mixing import mix_sources
-from tessera.llm.neardup import minhash_components
-from tessera.llm.quality_rules import quality_rules
+from tessera.llm.mixing import mix_documents
+from tessera.llm.neardup import drop_near_duplicates
+from tessera.llm.quality_rules import keep_quality
 from tessera.llm.sharding import shard_documents
-from tessera.runtime import materialize, table
-
-
-def _row(docs: DataFrame) -> DataFrame:
-    """docs with a hash of what a decision depends on, to join decisions back to rows: repeated rows share it."""
-    return docs.withColumn("__row", F.xxhash64("doc_id", "source", "lang", F.xxhash64("text"), F.length("text"), F.hash("text")))
+from tessera.runtime import discard, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    names = docs.columns
-    rows = _row(docs)
-    kept = quality_rules(rows.select(F.col("__row").alias("doc_id"), "lang", "text")).where("kept").select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(kept, "__row", "left_semi").select(*names)
+    """Documents that the quality rules reject go: null, empty and short texts, repetitive ones, and those far from their language. Repeated rows are judged alike."""
+    return keep_quality(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that with the smallest doc_id; of rows that repeat it one stays. Rows without a doc_id stay."""
-    names = docs.columns
-    kept = minhash_components(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*names)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each near-duplicate class stays, that with the smallest doc_id; of rows that repeat it and its text one stays. Rows without a doc_id or without words link with nothing and stay.
+
+    Sets are shingles of five words, as for prose in general, and not of two as in
+    the query op1: two documents that share many word pairs need not be copies.
+    """
+    return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with test items beyond the coverage limit go; others stay as they are."""
+    """Documents with test items beyond the coverage limit go; others, null and empty texts among them, stay as they are."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is given as often as the mix takes its words: whole copies, and one more by a seeded draw with the odds of the part that is left.
-
-    Texts without words have nothing that the mix could take and stay once.
-    """
-    names = docs.columns
-    rows = _row(docs)
-    taken = mix_sources(rows.select(F.col("__row").alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.first("size").alias("__size"), F.sum("taken").alias("__taken"), F.count("*").alias("__same"))
-    share = F.col("__taken") / (F.col("__size") * F.col("__same"))
-    draw = F.pmod(F.xxhash64(F.lit(41), "__row"), F.lit(1 << 30)) / F.lit(1 << 30)
-    copies = F.when(F.col("__size") > 0, F.floor(share) + (draw < share - F.floor(share)).cast("long")).otherwise(1).cast("int")
-    joined = rows.join(taken.withColumnRenamed("doc_id", "__row"), "__row").withColumn("__copies", copies).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
+    """Each document is given as often as the mix takes its words: whole copies, and one more by a seeded draw. Texts without words stay once; a null source is a source of its own."""
+    return mix_documents(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and group_id of each row."""
+    """doc_id, size, text_crc32, law, shard, slot, group_id and links of each row, repeated rows, null texts and null doc_ids included."""
     return shard_documents(docs)
 
 
@@ -72,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, name)
+            after = materialize(after, name)
+            if i:
+                discard(docs)
+        docs = after
     return docs
