@@ -83,7 +83,16 @@ def approve(asked: dict[tuple[int, int, int, int], int], loads: list[int], rooms
                 key = into[t].pop()
                 after[t] -= asked[key]
                 after[key[0]] += asked[key]
-    return {k for keys in into.values() for k in keys}
+    good = {k for keys in into.values() for k in keys}
+    left = [k for k in sorted(asked, key=lambda k: (-k[2], k[3], k[0])) if k not in good]
+    while fits := [k for k in left if after[k[1]] + asked[k] <= limit[k[1]]]:
+        for k in fits:  # what a large cell left room for, or what leaves made room
+            if after[k[1]] + asked[k] <= limit[k[1]]:
+                after[k[0]] -= asked[k]
+                after[k[1]] += asked[k]
+                good.add(k)
+        left = [k for k in left if k not in good]
+    return good
 
 
 def _tally(state: DataFrame, shards: int) -> DataFrame:
