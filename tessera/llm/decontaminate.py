@@ -228,16 +228,19 @@ def _scan_merged(carry: list[str], name: str):
     return run
 
 
-def _block(items: list[tuple[str, np.ndarray]], window: int) -> tuple:
+def _block(items: list[tuple[str, np.ndarray]], window: int, shortest: int) -> tuple:
     vocabulary = np.unique(np.concatenate([h for _, h in items]))
     coded = [(name, (np.searchsorted(vocabulary, h) + 1)) for name, h in items]
     pairs = np.unique(np.concatenate([c[:-1] * (len(vocabulary) + 1) + c[1:] for _, c in coded]))
-    return vocabulary, pairs, min(window, min(len(c) for _, c in coded)), SuffixAutomaton([(n, c.tolist()) for n, c in coded], window)
+    return vocabulary, pairs, shortest, SuffixAutomaton([(n, c.tolist()) for n, c in coded], window)
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[tuple]:
     """Automata over the items (item_id, text), each over block_words words at most or one item, one after the other: the driver holds one partition of items and one block."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"))
+    # no shorter run of words can hold a window of any block's items
+    shortest = min(window, items.agg(F.min(F.when(n > 0, n))).first()[0] or window)
     held, size = [], 0
     for row in items.toLocalIterator():
         data, offsets = text_buffer(pa.array([row["text"]], pa.string()))
@@ -245,12 +248,12 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> Ite
         if not len(h):
             continue
         if size and size + len(h) > block_words:
-            yield _block(held, window)
+            yield _block(held, window, shortest)
             held, size = [], 0
         held.append((row["name"], h))
         size += len(h)
     if held:
-        yield _block(held, window)
+        yield _block(held, window, shortest)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, carry: tuple[str, ...] = ("doc_id",), name: str = "hit", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -261,7 +264,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, carr
     item if that is shorter; a word inside any occurrence is hit.  The struct has
     n_words, marks (hit ranges of word positions), items (names of items with
     occurring windows, sorted as strings), longest (words of the longest match with
-    any item) and cuts (hit ranges in code points, end exclusive).
+    any item, 0 if it has fewer than the shortest window) and cuts (hit ranges in code points, end exclusive).
 
     Up to block_words words of items make one automaton and one narrow pass over
     whole texts, without a shuffle: words that no item holds, and word pairs that no

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -14,14 +16,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import benchmark_digest, decontaminate
 from tessera.llm.line_dedup import dedup_lines, line_digest
-from tessera.llm.mixing import mix_sources, sainte_lague, targets
+from tessera.llm.mixing import mix_sources, sainte_lague, shard_quotas, targets
 from tessera.llm.neardup import minhash_components
-from tessera.llm.pii import base_spans, bootstrap, extract_pii
+from tessera.llm.pii import base_spans, bootstrap, extract_pii, luhn, tokens
 from tessera.llm.quality_model import score_quality
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.sharding import shard_documents
-from tessera.llm.toxicity import HEAD, NEGATION, REPORT, TARGET, Composition, score_toxicity
+from tessera.llm.toxicity import HEAD, KINDS, NEGATION, REPORT, TARGET, Composition, Grammar, score_toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, items string, node long, size long"
 RNG = random.Random(4)
@@ -91,6 +93,59 @@ def test_near_duplicates(docs, nothing):
     assert minhash_components(nothing).count() == 0
 
 
+def closure(sets, percent=80):
+    """Component by brute force."""
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Many components in common buckets, worked on as pairs of blocks; similarities around the limit."""
+    from tessera.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(11)
+    core = [f"c{k}" for k in range(100)]
+    texts = {}
+    for i in range(150):  # replacing k single words costs 2 k shingles of 99
+        w = list(core)
+        for k in rng.sample(range(100), rng.choice([3, 5, 6, 7, 9])):
+            w[k] = f"x{rng.randrange(3)}"
+        texts[i] = " ".join(w)
+    got = by_id(minhash_components(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(4), width=2))
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in texts.items()}
+    expected = closure(sets)
+    assert {i: r.component_id for i, r in got.items()} == expected and len(set(expected.values())) > 5
+
+
+def test_near_duplicate_recall_at_the_limit(spark):
+    """800 pairs of similarity 0.80 to 0.85, alone with each other: none is lost."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(800):
+        w = [f"p{i}w{k}" for k in range(180)]
+        v = list(w)
+        for k in rng.sample(range(2, 178, 4), rng.choice([8, 9])):
+            v[k] = "z"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in rows}
+    near = [i for i in range(800) if 80 * len(sets[2 * i] | sets[2 * i + 1]) <= 100 * len(sets[2 * i] & sets[2 * i + 1])]
+    got = by_id(minhash_components(spark.createDataFrame(rows, "doc_id long, text string"), width=2))
+    assert len(near) > 300 and all((got[2 * i + 1].component_id == 2 * i) == (i in set(near)) for i in range(800))
+
+
 def test_decontamination(spark, docs, nothing):
     items = spark.createDataFrame([(2, ITEM), (10, "one"), (3, ""), (None, None)], "item_id long, text string")
     window = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -100,7 +155,7 @@ def test_decontamination(spark, docs, nothing):
         for k in range(max(1, len(w) - 12)):
             windows[tuple(w[k : k + 13])].add(name)
     for block in (200_000, 1):
-        got = by_id(benchmark_digest(docs, items))
+        got = by_id(benchmark_digest(docs, items, block_words=block))
         for i, t in enumerate(TEXTS):
             w, hit, names = window.findall(low(t)), set(), set()
             for n in {len(x) for x in windows}:
@@ -122,9 +177,11 @@ def test_decontamination(spark, docs, nothing):
 def test_blocks_of_items_agree(spark, docs):
     from tessera.llm.decontaminate import benchmark_hits
 
-    items = spark.createDataFrame([(2, ITEM), (10, "one"), (11, BASE[1])], "item_id long, text string")
-    form = lambda df: sorted((str(r.doc_id), r["__n_words"], str(r["__marks"]), r["__items"]) for r in df.collect())
-    assert form(benchmark_hits(docs, items)) == form(benchmark_hits(docs, items, block_words=5))
+    items = spark.createDataFrame([(k, " ".join(BASE[k % 6].split()[k : k + 20 + k])) for k in range(10)] + [(20, ITEM), (21, "one")], "item_id long, text string")
+    one, many = (sorted(map(str, benchmark_hits(docs, items, block_words=n).collect())) for n in (200_000, 25))
+    assert one == many
+    kept = (sorted(str(r) for r in decontaminate(docs, items, block_words=n).collect()) for n in (200_000, 25))
+    assert next(kept) == next(kept)
 
 
 def test_quality_rules(docs, nothing):
@@ -141,6 +198,22 @@ def test_quality_rules(docs, nothing):
     assert quality_rules(nothing).count() == 0
 
 
+def test_quality_tells_languages(spark):
+    """A text in another language and one without common words go; prose of the language stays, short or long."""
+    rng = random.Random(6)
+    common = {"en": "the of and to in is that for was with on are as be".split(), "de": "der die und den von zu das mit ist nicht ein auf".split()}
+
+    def text(lang, n, share=0.4):
+        return " ".join(rng.choice(common[lang]) if rng.random() < share else "".join(rng.choice("aeioutnrs") for _ in range(6)) for _ in range(n))
+
+    rows = [(i, lang, text(lang, n)) for i, (lang, n) in enumerate([(x, n) for x in common for n in (50, 80, 200, 600) for _ in range(30)])]
+    odd = [(1000, "en", text("de", 300)), (1001, "de", text("en", 300)), (1002, "en", text("en", 300, 0.0)), (1003, "de", text("de", 300, 0.0))]
+    upper = [(2000, "en", text("en", 300).upper().replace("A", "a"))]
+    got = by_id(quality_rules(spark.createDataFrame(rows + odd + upper, "doc_id long, lang string, text string")))
+    assert all(got[i].kept for i, _, _ in rows) and not any(got[i].kept for i, _, _ in odd)
+    assert got[2000].word_distance < got[2000].word_limit  # in any case
+
+
 def test_lines(docs, nothing):
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     first, lines = {}, {}
@@ -187,10 +260,60 @@ def test_pii(spark, docs, nothing):
     kinds = Counter(k for _, k, _ in base_spans(text))
     assert kinds == {0: 2, 1: 3, 3: 1, 2: 1}
     assert base_spans("1" * 200_000 + "@" + "9" * 200_000) == []
+    assert list(tokens("字" * 1_000_000 + "1")) == [] and list(tokens("ab 12345. 1234567!? x@yyyyy")) == [(10, 17), (20, 27)]
     assert extract_pii(docs).count() == docs.count() and extract_pii(nothing).count() == 0
-    ctx = [(i, True, [7]) for i in range(8)] + [(100, False, [7]), (200, False, [8])]
-    found = bootstrap(spark.createDataFrame(ctx, "value long, seed boolean, patterns array<long>"))
-    assert [r.value for r in found.collect()] == [100]
+
+
+def test_pii_base_spans_are_those_of_the_contract():
+    """Plain regular expressions on random texts of the signs that matter."""
+    kinds = [
+        (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+        (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m.split("."))),
+        (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 14 <= len(d := re.sub("[ -]", "", m)) <= 19 and luhn(d)),
+        (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    rng = random.Random(8)
+    for _ in range(4_000):
+        text = "".join(rng.choice("0123459..@@++ --ab()é") for _ in range(rng.randrange(60)))
+        expected = sorted((m.start(), k, m.end()) for k, (p, good) in enumerate(kinds) for m in p.finditer(text) if good(m.group()))
+        assert base_spans(text) == expected, text
+
+
+def test_pii_finds_planted_identifiers(spark):
+    """Members' mail addresses teach contexts, these find handles, and the handles teach a further context."""
+    rng = random.Random(5)
+    filler = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(n))
+    rows = [(i, f"{filler(9)} please reach member me{i}@mail.example.org today {filler(9)}") for i in range(8)]
+    rows += [(100 + i, f"{filler(9)} please reach member user#{i}77 today {filler(9)}") for i in range(2)]
+    # six handles stand in both contexts, two only in the second
+    rows += [(200 + i, f"{filler(5)} please reach member agent-{i}55 today {filler(5)} badge number agent-{i}55 shown {filler(5)}") for i in range(6)]
+    rows += [(300 + i, f"{filler(9)} badge number zz-{i}991 shown {filler(9)}") for i in range(1)]
+    rows += [(400 + i, f"{filler(9)} invoice total {i}00123 euros {filler(9)}") for i in range(30)]
+    rows += [(500, None), (501, ""), (None, rows[8][1]), rows[8]]
+    seeds = [(600 + i, f"{filler(5)} please reach member x{i}@y.example.org today {filler(3)}") for i in range(40)]
+    got = defaultdict(list)
+    for r in extract_pii(spark.createDataFrame(rows + seeds, "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id].append(r)
+    by_text = dict(rows)
+    for i in [*range(100, 102), *range(200, 206), 300]:
+        spans = [s.split(":") for s in got[i][0].spans.split(",") if s.startswith("found")]
+        values = {by_text[i][int(a) : int(b)] for _, a, b in spans}
+        assert values and all(re.fullmatch(r"(user#|agent-|zz-)\d+", v) for v in values), (i, values)
+    assert not any(r.n_found for i in range(400, 430) for r in got[i]) and got[500][0].spans == got[501][0].spans == ""
+    assert len(got[100]) == 2 and len({r.spans for r in got[100]}) == 1 and got[None][0].n_found == 1
+
+
+def test_bootstrap_does_not_feed_on_itself(spark):
+    schema = "value long, seed boolean, patterns array<long>"
+    known = [(i, True, [7]) for i in range(8)]
+    found = lambda rows: {r.value for r in bootstrap(spark.createDataFrame(rows, schema)).collect()}
+    assert found([*known, (100, False, [7]), (200, False, [8])]) == {100}
+    # 4 of 8 known isn't enough for pattern 8, and stays so though it would accept its own values
+    assert found([*[(i, True, [8]) for i in range(4)], *[(50 + i, False, [8]) for i in range(4)]]) == set()
+    # values found by 7 support 9
+    second = [*[(i, True, [7]) for i in range(40)], *[(50 + i, False, [7, 9]) for i in range(6)], (60, False, [9])]
+    assert found(second) == {*range(50, 56), 60}
+    assert found([]) == set()
 
 
 def test_secrets(spark, docs, nothing):
@@ -208,6 +331,19 @@ def test_apportionment():
     quotients = sorted(((v / (2 * s + 1), -i) for i, v in enumerate(votes) for s in range(200)), reverse=True)[:100]
     assert sainte_lague(votes, 100) == [sum(-i == k for _, i in quotients) for k in range(3)]
     assert sainte_lague([0, 0], 5) == [0, 0]
+    rng = random.Random(3)
+    for _ in range(200):
+        votes, seats = [rng.randrange(50) for _ in range(rng.randrange(1, 6))], rng.randrange(60)
+        most = [rng.randrange(30) for _ in votes]
+        won = [0] * len(votes)
+        for _ in range(seats):  # the highest quotient of those with room, one seat at a time
+            free = [i for i, v in enumerate(votes) if v and won[i] < most[i]]
+            if free:
+                won[min(free, key=lambda i: (-votes[i] / (2 * won[i] + 1), i))] += 1
+        got = sainte_lague([Fraction(v) for v in votes], seats, most)
+        assert sum(got) == sum(won) and sorted(v / (2 * s - 1) for v, s in zip(votes, got, strict=True) if s) == pytest.approx(sorted(v / (2 * s - 1) for v, s in zip(votes, won, strict=True) if s)), (votes, seats, most)
+    quotas = shard_quotas([7, 0, 10, 3], 4)
+    assert [sum(q) for q in quotas] == [7, 0, 10, 3] and all(max(q) - min(q) <= 1 for q in quotas) and {sum(c) for c in zip(*quotas, strict=True)} == {5}
     assert [float(t) for t in targets([100, 10, 10], [1, 5, 2])] == [60.0, 30.0, 30.0]
 
 
@@ -225,6 +361,37 @@ def test_mixing(docs, nothing):
     assert mix_sources(nothing).count() == 0
 
 
+def test_mixing_against_a_list_of_words(spark):
+    """Every word of every block laid out one by one, by source and shard."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng.randrange(90)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)] + [(5, prose(700), "c"), (200, None, "a"), (201, "", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    shards, block = 5, 16
+    got = mix_sources(df, shards=shards, block=block, rows_in_bucket=20).collect()
+    keys = {(r.doc_id, r["size"]): r.key for r in df.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \n]+")).alias("size"), F.xxhash64(F.lit(29), F.col("doc_id").cast("string"), F.xxhash64("text")).alias("key")).collect()}
+    names = sorted({r.source for r in got}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r["size"] for r in got if r.source == s) for s in names}
+    block = max(1, min(block, sum(size.values()) // (4096 * len(names))))
+    goal = targets([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    there = [-(-size[s] // block) for s in names]
+    quota = sainte_lague(goal, -(-sum(size.values()) // block), [3 * n for n in there])
+    for s, q, n, parts in zip(names, quota, there, shard_quotas(quota, shards), strict=True):
+        mine = [r for r in got if r.source == s]
+        bucket = lambda k: math.floor(((k % (1 << 64)) >> 1) / float(1 << 63) * max(1, -(-len(mine) // 20)))  # noqa: B023, E731
+        order = sorted(mine, key=lambda r: (bucket(keys[r.doc_id, r["size"]]), keys[r.doc_id, r["size"]], r.doc_id, r["size"]))
+        stream = [k for k, r in enumerate(order) for _ in range(r["size"])]
+        full, more = divmod(q, n) if n else (0, 0)
+        copies = [j for _ in range(full) for j in range(n)] + [j for j in range(n) if (j + 1) * more // n > j * more // n]
+        assert len(copies) == q
+        shard_of = [t for t, p in enumerate(parts) for _ in range(p)]
+        expected = defaultdict(Counter)
+        for j, t in zip(copies, shard_of, strict=True):
+            for k in stream[j * block : (j + 1) * block]:
+                expected[k][t] += 1
+        for k, r in enumerate(order):
+            assert {x.shard: x.words for x in r.shard_words} == dict(expected[k]) and r.taken == sum(expected[k].values())
+
+
 def test_shards(docs, nothing):
     rows = shard_documents(docs, shards=4).collect()
     sizes = Counter(r.shard for r in rows)
@@ -246,17 +413,89 @@ def test_shards_keep_groups_whole(spark, monkeypatch):
     sizes = [200] * 8 + [50] * 20 + [2] * 100 + [1] * 2_800
     rows = [(i, f"text {g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    plain = sharding.propagate_labels
-    # all groups by the driver, most of them in rounds, and one text that fills three shards and a part of a fourth
-    for exact, docs, giants in ((64, table, 0), (1, table, 0), (64, table.withColumn("text", F.expr("if(doc_id >= 4500, 'x', text)")), 1)):
-        monkeypatch.setattr(sharding, "propagate_labels", lambda r, q, n, e=exact: plain(r, q, n, e))
+    plain = sharding.place_groups
+    # large groups by the driver, then all in rounds, and one text that fills three shards and a part of a fourth
+    for exact, docs, giants in ((8, table, 0), (1, table, 0), (8, table.withColumn("text", F.expr("if(doc_id >= 4500, 'x', text)")), 1)):
+        monkeypatch.setattr(sharding, "place_groups", lambda g, e, q, n, x=exact: plain(g, e, q, n, x))
         got = shard_documents(docs, shards=16).collect()
         held, each = defaultdict(set), Counter(r.shard for r in got)
         for r in got:
             held[r.group_id].add(r.shard)
         assert len(got) == len(rows) and max(each.values()) - min(each.values()) <= 1
         assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in each.items())
-        assert sorted(len(s) for s in held.values() if len(s) > 1) == [4] * giants
+        cut = sorted(len(s) for s in held.values() if len(s) > 1)
+        assert cut == [4] * giants if exact > 1 else len(cut) <= 2, (exact, cut)
+
+
+def test_approved_moves_pass_no_room():
+    from tessera.llm.sharding import approve
+
+    rng = random.Random(7)
+    for _ in range(300):
+        shards = rng.randrange(2, 5)
+        loads = [rng.randrange(40) for _ in range(shards)]
+        rooms = [rng.randrange(20, 45) for _ in range(shards)]
+        asked = {}
+        for _ in range(rng.randrange(12)):
+            a, b = rng.sample(range(shards), 2)
+            asked[a, b, rng.randrange(3), rng.randrange(4)] = rng.randrange(1, 9)
+        good = approve(asked, loads, rooms)
+        after = list(loads)
+        for k in good:
+            after[k[0]] -= asked[k]
+            after[k[1]] += asked[k]
+        assert all(x <= max(r, y) for x, r, y in zip(after, rooms, loads, strict=True))
+        # what alone would fit beside the rest isn't refused
+        for k in set(asked) - good:
+            assert after[k[1]] + asked[k] > max(rooms[k[1]], loads[k[1]])
+    assert approve({(0, 1, 2, 0): 5, (1, 0, 0, 0): 5}, [10, 10], [10, 10]) == {(0, 1, 2, 0), (1, 0, 0, 0)}
+
+
+def test_labels_propagate_to_neighbours(spark):
+    """Planted communities, small enough to check every figure by brute force."""
+    from tessera.llm.sharding import propagate_labels
+
+    rng = random.Random(1)
+    shards, groups = 4, [list(range(10 * c, 10 * c + 10)) for c in range(12)]
+    weight = {g: rng.choice([1, 1, 2, 3]) for c in groups for g in c}
+    edges = [(1000 * c + h, g, weight[g]) for c, members in enumerate(groups) for h in range(4) for g in rng.sample(members, 7)]
+    linked = {g for _, g, _ in edges}
+    nodes = [(g, weight[g], rng.randrange(shards), False) for g in sorted(linked)]
+    rooms = [sum(weight[g] for g in linked) // shards + 12] * shards
+    labels, loads, history = propagate_labels(spark.createDataFrame(nodes, "g long, n long, label int, fixed boolean"), spark.createDataFrame(edges, "hub long, g long, n long"), rooms, 8)
+    got = by_g = {r.g: r for r in labels.collect()}
+
+    def figures(label):
+        links, cut, pairs = Counter(), Counter(), 0
+        for h in {h for h, _, _ in edges}:
+            members = [(g, n) for x, g, n in edges if x == h]
+            for g, n in members:
+                for o, m in members:
+                    if o != g:
+                        links[g] += m
+                        cut[g] += m * (label[o] != label[g])
+                        pairs += n * m * (label[o] != label[g])
+        return links, cut, pairs // 2
+
+    start, end = {g: x for g, _, x, _ in nodes}, {g: r.label for g, r in got.items()}
+    links, cut, pairs = figures(end)
+    assert {g: (r.links, r.cut_links) for g, r in by_g.items()} == {g: (links[g], cut[g]) for g in end}
+    assert history[:2] == [figures(start)[2], pairs] and sum(history[2:]) > 0 and pairs < 0.5 * history[0]
+    assert loads == [sum(weight[g] for g in end if end[g] == t) for t in range(shards)]
+    assert all(x <= max(r, sum(weight[g] for g in start if start[g] == t)) for t, (x, r) in enumerate(zip(loads, rooms, strict=True)))
+
+
+def test_shards_move_linked_documents(spark):
+    """Texts that share most of their shingles go to one shard more often than by hash."""
+    rng = random.Random(3)
+    rows = [(100 * c + k, edited(base, 3)) for c, base in enumerate(prose(60) for _ in range(30)) for k in range(10)] + [(10_000 + i, prose(30)) for i in range(500)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=8).collect()
+    each = Counter(r.shard for r in got)
+    assert max(each.values()) - min(each.values()) <= 1
+    together = [max(Counter(r.shard for r in got if r.doc_id // 100 == c and r.doc_id < 10_000).values()) for c in range(30)]
+    assert sum(together) >= 200  # some 3 of 10 by hash
+    assert sum(r.cut_links for r in got) < 0.5 * sum(r.links for r in got) and all(r.links == 0 for r in got if r.doc_id >= 10_000)
+    assert rng
 
 
 def test_placement_cuts_no_more_than_brute_force():
@@ -296,6 +535,21 @@ def test_grammar():
     assert machine.read(list("ROTH")) == {"reported", "targeted", "threat"}
 
 
+def test_clauses_in_context():
+    grammar = Grammar([("idiot$", 3.0), ("pathetic", 2.0)])
+    cases = {
+        "You are an idiot": "targeted", "That was pathetically done": "plain", "You are not an idiot": "negated", "You are an idiot, not.": "negated", "He said you are an idiot": "reported",
+        "He said: you are an idiot": "reported", "He said, you are an idiot": "reported", "\"You are an idiot\", he said.": "reported", "Er sagte: „du bist ein idiot“.": "reported",
+        "You are an idiot, but he said hello to us": "targeted", "He said hello. You are an idiot": "targeted", "They never came, you idiot": "targeted",
+    }
+    for text, kind in cases.items():
+        sums = dict(zip(KINDS, grammar.features(text), strict=False))
+        assert [k for k, v in sums.items() if v] == [kind], (text, sums)
+    threats = lambda text: grammar.features(text)[len(KINDS)]
+    assert threats("I will kill you") > 0 and threats("He said: I will kill you") == threats("They kill time") - threats("They kill time") == 0
+    assert grammar.features("nothing here") == grammar.features("") == [0.0] * (len(KINDS) + 3)
+
+
 @pytest.mark.parametrize("score,label,folds,fold", [(score_toxicity, "toxic", 3, 1), (score_quality, "quality", 4, 2)])
 def test_classifiers(spark, nothing, score, label, folds, fold):
     rng = np.random.default_rng(2)
