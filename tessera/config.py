@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
+import os
 from dataclasses import dataclass, fields
 
 log = logging.getLogger(__name__)
 
+#: Names, defaults, choices and ranges are fixed values: they are the file format that users bring.
 CHOICES = {
     "hash_algorithm": {"sha256", "md5"}, "embedding_device": {"auto", "cpu", "cuda"}, "color_space": {"lab", "hsv"}, "log_level": {"DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"},
 }
@@ -18,7 +20,11 @@ RANGES = {
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of a run; unknown keys of a file are ignored with a warning."""
+    """Parameters of a run; unknown keys of a file are ignored with a warning.
+
+    embedding_* describe the model for whoever builds the Embedder of a run;
+    faiss_use_gpu has no effect, as the search runs on CPUs.
+    """
 
     hash_algorithm: str = "sha256"
     phash_threshold: int = 10
@@ -66,12 +72,24 @@ def make_config(values: dict) -> Config:
     picked = {k: v for k, v in values.items() if k in known}
     if "supported_extensions" in picked:
         picked["supported_extensions"] = tuple("." + e.lower().lstrip(".") for e in picked["supported_extensions"])
+    if isinstance(picked.get("log_level"), str):
+        picked["log_level"] = picked["log_level"].upper()
     config = Config(**picked)
     if errors := config.errors():
         raise ValueError("; ".join(errors))
     return config
 
 
+def set_logging(config: Config) -> None:
+    """Log records of the package at the level, and to the file if one is named, that the config gives."""
+    logger = logging.getLogger("tessera")
+    logger.setLevel(config.log_level)
+    if config.log_file and not any(getattr(h, "baseFilename", None) == os.path.abspath(config.log_file) for h in logger.handlers):
+        handler = logging.FileHandler(config.log_file, encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+        logger.addHandler(handler)
+
+
 def load_config(path: str) -> Config:
     import yaml
 

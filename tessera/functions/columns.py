@@ -101,9 +101,13 @@ def base_name(path) -> Column:
     return F.regexp_extract(col(path), r"([^/]*)$", 1)
 
 
+#: Fixed value: the endings that views and copies of one model add to its name.
+VIEW_MARKS = r"(?i)(_[0-9]+|_angle[0-9]+|_view[0-9]+|_original.*|\s*\([0-9]+\))$"
+
+
 def model_stem(name) -> Column:
     """A file stem without a trailing view number, angle, `original` or copy mark."""
-    return F.trim(F.lower(F.regexp_replace(col(name), r"(?i)(_[0-9]+|_angle[0-9]+|_view[0-9]+|_original.*|\s*\([0-9]+\))$", "")))
+    return F.trim(F.lower(F.regexp_replace(col(name), VIEW_MARKS, "")))
 
 
 def category_prefix(name) -> Column:
@@ -125,10 +129,26 @@ def keyword_class(text, classes: dict[str, list[str]], default: str = "other") -
     return out.otherwise(default) if out is not None else F.lit(default)
 
 
+#: The forms of file-sharing links, with the id as group 1; whether the host must stand before; whether it is a folder.
+DRIVE_LINKS = (
+    (r"drive\.google\.com/drive/folders/([a-zA-Z0-9_-]+)", True),
+    (r"drive\.google\.com/file/d/([a-zA-Z0-9_-]+)", False),
+    (r"[?&]id=([a-zA-Z0-9_-]+)", False),
+    (r"^([a-zA-Z0-9_-]{25,})$", False),
+)
+
+
+def drive_link(url) -> Column:
+    """(id, is_folder) of a file-sharing link: a folder or file of the host, an id= parameter, or the bare id; id is null if there is none."""
+    found = [F.nullif(F.regexp_extract(F.trim(col(url)), p, 1), F.lit("")) for p, _ in DRIVE_LINKS]
+    folder = F.lit(False)
+    for hit, (_, is_folder) in reversed(list(zip(found, DRIVE_LINKS, strict=True))):
+        folder = F.when(hit.isNotNull(), F.lit(is_folder)).otherwise(folder)
+    return F.struct(F.coalesce(*found).alias("id"), folder.alias("is_folder"))
+
+
 def drive_id(url) -> Column:
-    """The id in a file-sharing link: folder, file, id= or the bare id of 25 characters or more; null if there is none."""
-    patterns = [r"/folders/([A-Za-z0-9_-]+)", r"/file/d/([A-Za-z0-9_-]+)", r"[?&]id=([A-Za-z0-9_-]+)", r"^([A-Za-z0-9_-]{25,})$"]
-    return F.coalesce(*[F.nullif(F.regexp_extract(F.trim(col(url)), p, 1), F.lit("")) for p in patterns])
+    return drive_link(url)["id"]
 
 
 def direct_download(url) -> Column:
@@ -139,6 +159,22 @@ def dataset_slug(url) -> Column:
     return F.nullif(F.regexp_extract(col(url), r"(?:datasets/)?([A-Za-z0-9_-]+/[A-Za-z0-9_.-]+?)/?(?:\?.*)?$", 1), F.lit(""))
 
 
+def html_escape(text) -> Column:
+    """Text for HTML: the five signs that mark-up or attributes read."""
+    out = col(text)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def label(language, **texts: str) -> Column:
+    """The text of a language; the first one given where there is none for it."""
+    out = F.lit(next(iter(texts.values())))
+    for code, text in texts.items():
+        out = F.when(col(language) == code, F.lit(text)).otherwise(out)
+    return out
+
+
 def truth_flag(text) -> Column:
     return F.lower(F.trim(col(text))) == "true"
 
@@ -147,6 +183,10 @@ def size_kb(n_bytes) -> Column:
     return F.coalesce(F.bround(col(n_bytes) / F.lit(1024.0), 1), F.lit(0.0))
 
 
-def aspect_ok(width_a, height_a, width_b, height_b, tolerance: float = 0.15) -> Column:
+def aspect_gap(width_a, height_a, width_b, height_b) -> Column:
     a, b = col(width_a) / col(height_a), col(width_b) / col(height_b)
-    return F.abs(a - b) / F.greatest(a, b) <= tolerance
+    return F.abs(a - b) / F.greatest(a, b)
+
+
+def aspect_ok(width_a, height_a, width_b, height_b, tolerance: float = 0.15) -> Column:
+    return aspect_gap(width_a, height_a, width_b, height_b) <= tolerance

@@ -10,6 +10,13 @@ import struct
 
 import numpy as np
 
+#: The share of a side that crops and margins take.
+INSET = 0.04
+#: Fixed values of the border trim: spread of an even border, difference of the foreground, least pixels, least side of the content, least margin.
+TRIM = {"even": 18, "front": 30, "pixels": 50, "content": 16, "pad": 2}
+#: Fixed values of the recolour score: cells on a side, difference of like cells, their least share, difference of recoloured cells, their least share, percentile.
+RECOLOUR = {"cells": 16, "like": 6, "aligned": 0.5, "far": 15, "region": 0.12, "percentile": 85}
+
 
 def header_size(content: bytes) -> tuple[int, int] | None:
     """(width, height) from the first bytes of PNG, GIF, BMP, JPEG, WebP or TIFF; None if it is none of them."""
@@ -108,7 +115,7 @@ def four_hashes(rgb: np.ndarray) -> tuple[int, int, int | None, int | None]:
     p, d = phash(rgb), dhash(rgb)
     if min(h, w) < 25:
         return p, d, None, None
-    y, x = int(h * 0.04), int(w * 0.04)
+    y, x = int(h * INSET), int(w * INSET)
     inner = rgb[y : h - y, x : w - x]
     return p, d, phash(inner), dhash(inner)
 
@@ -121,16 +128,16 @@ def trim_border(rgb: np.ndarray) -> tuple[int, int, int, int]:
         return whole
     edge = np.concatenate([rgb[0], rgb[-1], rgb[:, 0], rgb[:, -1]]).astype(int)
     middle = np.median(edge, axis=0)
-    if np.percentile(np.abs(edge - middle).max(axis=1), 80) > 18:
+    if np.percentile(np.abs(edge - middle).max(axis=1), 80) > TRIM["even"]:
         return whole
-    front = np.abs(rgb.astype(int) - middle).max(axis=2) > 30
-    if front.sum() < 50:
+    front = np.abs(rgb.astype(int) - middle).max(axis=2) > TRIM["front"]
+    if front.sum() < TRIM["pixels"]:
         return whole
     ys, xs = np.flatnonzero(front.any(axis=1)), np.flatnonzero(front.any(axis=0))
     x0, x1, y0, y1 = xs[0], xs[-1] + 1, ys[0], ys[-1] + 1
-    if x1 - x0 < 16 or y1 - y0 < 16:
+    if x1 - x0 < TRIM["content"] or y1 - y0 < TRIM["content"]:
         return whole
-    pad_x, pad_y = max(2, int((x1 - x0) * 0.04)), max(2, int((y1 - y0) * 0.04))
+    pad_x, pad_y = max(TRIM["pad"], int(w * INSET)), max(TRIM["pad"], int(h * INSET))
     return max(0, int(x0) - pad_x), max(0, int(y0) - pad_y), min(w, int(x1) + pad_x), min(h, int(y1) + pad_y)
 
 
@@ -222,6 +229,36 @@ def _transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> floa
     return float((flow * cost).sum())
 
 
+def assignment(cost: np.ndarray) -> list[int]:
+    """The column of each row in the cheapest one-to-one matching of a square cost matrix: one shortest augmenting path for each row, with potentials."""
+    n = len(cost)
+    row_of = np.full(n + 1, -1)  # the last column is where a path begins
+    u, v = np.zeros(n), np.zeros(n + 1)
+    for i in range(n):
+        row_of[n], at = i, n
+        least, back, seen = np.full(n, np.inf), np.full(n, -1), np.zeros(n + 1, bool)
+        while row_of[at] >= 0:
+            seen[at] = True
+            r = row_of[at]
+            slack = cost[r] - u[r] - v[:n]
+            better = ~seen[:n] & (slack < least)
+            least[better], back[better] = slack[better], at
+            step = int(np.argmin(np.where(seen[:n], np.inf, least)))
+            gap = least[step]
+            for j in np.flatnonzero(seen):
+                u[row_of[j]] += gap
+                v[j] -= gap
+            least[~seen[:n]] -= gap
+            at = step
+        while at != n:
+            row_of[at] = row_of[back[at]]
+            at = int(back[at])
+    out = [0] * n
+    for j in range(n):
+        out[row_of[j]] = j
+    return out
+
+
 def palette_distance(a: list, b: list, dummy: float = 200.0) -> float:
     """The larger of two distances between palettes (L, a, b, share): the best one-to-one matching, weighed by mean shares, and the earth mover's distance."""
     x, y = np.array(a, dtype=float), np.array(b, dtype=float)
@@ -230,32 +267,40 @@ def palette_distance(a: list, b: list, dummy: float = 200.0) -> float:
     square, wx, wy = np.full((n, n), dummy), np.zeros(n), np.zeros(n)
     square[: len(x), : len(y)] = cost
     wx[: len(x)], wy[: len(y)] = x[:, 3], y[:, 3]
-    best = min(itertools.permutations(range(n)), key=lambda p: sum(square[i, j] for i, j in enumerate(p)))
+    best = assignment(square)
     weights = [(wx[i] + wy[j]) / 2 for i, j in enumerate(best)]
     matched = sum(w * square[i, j] for w, (i, j) in zip(weights, enumerate(best), strict=True)) / max(1e-12, sum(weights))
     moved = _transport(cost, x[:, 3] / x[:, 3].sum(), y[:, 3] / y[:, 3].sum())
     return float(max(matched, moved))
 
 
-def grid(rgb: np.ndarray, crop: float = 0.0) -> np.ndarray:
-    """16 x 16 Lab cells of the image, less a share on each side."""
+def cell_grids(rgb: np.ndarray) -> bytes | None:
+    """Two grids of mean colours as bytes, of the whole image and of it without INSET on each side; None under 32 pixels."""
     h, w = rgb.shape[:2]
-    y, x = int(h * crop), int(w * crop)
-    return lab(resize(rgb[y : h - y, x : w - x], 16, 16, "box"))
+    if min(h, w) < 32:
+        return None
+    inner = rgb[int(h * INSET) : int(h * (1 - INSET)), int(w * INSET) : int(w * (1 - INSET))]
+    return b"".join(resize(x, RECOLOUR["cells"], RECOLOUR["cells"], "box").tobytes() for x in (rgb, inner))
+
 
+def recolour_score(a: bytes | None, b: bytes | None) -> float:
+    """How far the recoloured cells of two pictures (their cell_grids) of one scene are apart; 0 if they don't line up or don't differ. The least over plain, a cropped, b cropped.
 
-def recolour_score(a: np.ndarray, b: np.ndarray, crop: float = 0.04) -> float:
-    """How far the differing cells of two pictures of one scene are apart; 0 if they don't line up or don't differ. The least over plain, a cropped, b cropped."""
-    if min(*a.shape[:2], *b.shape[:2]) < 32:
+    Pictures line up if enough cells are alike as they are; the shift that light
+    alone makes is the median difference, a vector, and what is left counts.
+    """
+    if a is None or b is None:
         return 0.0
+    shape = (2, RECOLOUR["cells"] ** 2, 3)
+    x, y = (lab(np.frombuffer(g, np.uint8).reshape(shape)) for g in (a, b))
     scores = []
-    for ca, cb in ((0.0, 0.0), (crop, 0.0), (0.0, crop)):
-        gap = np.sqrt(((grid(a, ca) - grid(b, cb)) ** 2).sum(axis=2)).ravel()
-        # the shift that exposure alone makes
-        residual = np.abs(gap - np.median(gap))
-        if (residual <= 6).mean() >= 0.5:
-            scores.append(float(np.percentile(residual, 85)) if (residual > 15).mean() >= 0.12 else 0.0)
-    return min(scores) if scores else 0.0
+    for p, q in ((0, 0), (1, 0), (0, 1)):
+        gap = x[p] - y[q]
+        if (np.linalg.norm(gap, axis=1) < RECOLOUR["like"]).mean() < RECOLOUR["aligned"]:
+            continue
+        rest = np.linalg.norm(gap - np.median(gap, axis=0), axis=1)
+        scores.append(float(np.percentile(rest, RECOLOUR["percentile"])) if (rest > RECOLOUR["far"]).mean() >= RECOLOUR["region"] else 0.0)
+    return min(scores, default=0.0)
 
 
 def verify_colour(palette_a, palette_b, spatial: float, threshold: float, space: str = "lab") -> tuple[bool, float, str]:

@@ -14,13 +14,13 @@ from tessera.operators.pairs import hamming_join
 from tessera.runtime import discard, materialize
 
 
-def distinct_seeds(seeds: DataFrame, p_max: int = 8, d_max: int = 6, n: int | None = None, max_rounds: int = 200) -> DataFrame:
+def distinct_seeds(seeds: DataFrame, p_max: int = 8, d_max: int = 6, n: int | None = None) -> DataFrame:
     """The paths of seeds (path, stem, p, d) that a scan in path order accepts: a seed goes if an accepted one has its cleaned stem or is within both Hamming distances.
 
     The scan's result is the lexicographically first independent set, found in
     rounds: the undecided seeds that are first of their stem and first among their
     signature and its neighbours are accepted at once, and what they exclude
-    goes.  Equal signatures and equal stems are classes with one minimum each, so a
+    goes, until nothing is undecided; the first undecided seed is always accepted.  Equal signatures and equal stems are classes with one minimum each, so a
     large class costs its rows and no pairs.  Null signatures have no neighbours,
     null stems equal none.
     With n, the first n that are accepted.
@@ -34,7 +34,7 @@ def distinct_seeds(seeds: DataFrame, p_max: int = 8, d_max: int = 6, n: int | No
     near = materialize(close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(itself), "near")
     open_ = rows.select("path", "stem", "sig")
     accepted: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         by_sig = open_.groupBy("sig").agg(F.min("path").alias("low"))
         around = near.join(by_sig, F.col("b") == F.col("sig")).groupBy("a").agg(F.min("low").alias("first_near"))
         by_stem = open_.groupBy("stem").agg(F.min("path").alias("first_stem"))
@@ -46,8 +46,6 @@ def distinct_seeds(seeds: DataFrame, p_max: int = 8, d_max: int = 6, n: int | No
         open_ = after
         if open_.isEmpty():
             break
-    else:
-        raise RuntimeError(f"seeds did not settle in {max_rounds} rounds")
     discard(near)
     out = reduce(DataFrame.unionByName, accepted).select("path")
     return out.orderBy("path").limit(n) if n is not None else out

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import connected_components
 from tessera.operators.ordering import numbered_groups
-from tessera.runtime import discard, materialize
+from tessera.runtime import materialize
 
 #: Rank of match types, the strongest last.
 TYPES = ("embedding_color_verified", "near_exact", "exact")
@@ -23,65 +24,80 @@ def type_name(c):
     return F.get(F.array(*[F.lit(t) for t in TYPES]), c - 1)
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), by hooking to the smallest neighbour and halving paths."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, "links")
-    state = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "state")
-    for _ in range(max_rounds):
-        near = both.join(state, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low"))
-        hooked = state.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
-        # a component's own component is a shortcut
-        jump = state.select(F.col("node").alias("c"), F.col("component").alias("root"))
-        after = hooked.join(jump, F.col("component") == F.col("c"), "left").select("node", "old", F.least("component", "root").alias("component"))
-        after = materialize(after, "state")
-        moved = after.where("old <> component").limit(1).count()
-        discard(state)
-        state = after.select("node", "component")
-        if not moved:
-            return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def best_edges(edges: DataFrame) -> DataFrame:
     """One row for each unordered pair: the largest confidence, and apart from it the strongest type."""
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence", type_rank().alias("rank"))
     return pairs.groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.max("rank").alias("rank"))
 
 
+def _side(near: dict, a, b) -> set | None:
+    """The smaller side if a and b aren't connected, else None; both sides are searched in turn, so the cost is twice the smaller one's."""
+    sides = [({a}, [a]), ({b}, [b])]
+    while True:
+        for k in (0, 1):
+            seen, todo = sides[k]
+            if not todo:
+                return seen
+            x = todo.pop()
+            for y in near[x]:
+                if y in sides[1 - k][0]:
+                    return None
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+
+
 def split_component(nodes: set, edges: list[tuple], banned: set[tuple], floor: int = 45) -> list[set]:
-    """Parts of a component: a part stands if it has no cannot-link pair, no edge under the floor and enough density; else its weakest edge goes and it is split anew."""
-    queue, out = [(nodes, edges)], []
+    """Parts of a component (connected, or the parts of one that isn't): a part stands if it has no cannot-link pair, no edge under the floor and enough density; else its weakest edge goes and it is looked at anew.
+
+    Adjacency is kept between cuts and each edge is dropped once, so a cut costs a
+    search from both its ends.
+    """
+    near = defaultdict(set)
+    for a, b, _ in edges:
+        near[a].add(b)
+        near[b].add(a)
+    start, left = [], set(nodes)
+    while left:
+        part, todo = set(), [min(left)]
+        while todo:
+            x = todo.pop()
+            if x not in part:
+                part.add(x)
+                todo += near[x] - part
+        left -= part
+        start.append(part)
+    where = {x: i for i, part in enumerate(start) for x in part}
+    inside, bans = [[] for _ in start], [[] for _ in start]
+    for a, b, c in edges:
+        inside[where[a]].append((c, a, b))
+    for a, b in banned:
+        if a in where and where.get(b) == where[a]:
+            bans[where[a]].append((a, b))
+    # edges with the weakest last, so the next to go is at the end
+    queue = [(part, sorted(e, reverse=True), x) for part, e, x in zip(start, inside, bans, strict=True)]
+    out = []
     while queue:
-        members, inside = queue.pop(0)
-        if len(members) == 1:
-            out.append(members)
-            continue
+        members, links, apart = queue.pop()
         n = len(members)
-        apart = any(a in members and b in members for a, b in banned)
-        weak = min((c for _, _, c in inside), default=0) < floor
-        if n == 2:
-            out += [members] if not apart and not weak else [{m} for m in sorted(members)]
+        if n == 1:
+            out.append(members)
             continue
-        if not apart and not weak and 2 * len(inside) / (n * (n - 1)) >= (0.65 if n == 3 else 0.70):
+        weak = bool(links) and links[-1][0] < floor
+        dense = n == 2 or 2 * len(links) / (n * (n - 1)) >= (0.65 if n == 3 else 0.70)
+        if not apart and not weak and dense:
             out.append(members)
             continue
-        drop = min(inside, key=lambda e: (e[2], e[0], e[1]))
-        rest = [e for e in inside if e is not drop]
-        near = defaultdict(set)
-        for a, b, _ in rest:
-            near[a].add(b)
-            near[b].add(a)
-        left = set(members)
-        while left:
-            part, todo = set(), [min(left)]
-            while todo:
-                x = todo.pop()
-                if x not in part:
-                    part.add(x)
-                    todo += near[x] - part
-            left -= part
-            queue.append((part, [e for e in rest if e[0] in part]))
+        _, a, b = links.pop()
+        near[a].discard(b)
+        near[b].discard(a)
+        side = _side(near, a, b)
+        if side is None:
+            queue.append((members, links, apart))
+            continue
+        rest = members - side
+        for part in (side, rest):
+            queue.append((part, [e for e in links if e[1] in part], [p for p in apart if p[0] in part and p[1] in part]))
     return out
 
 
@@ -93,25 +109,26 @@ def build_groups(edges: DataFrame, rejected: DataFrame | None = None, floor: int
 def group_members(edges: DataFrame, rejected: DataFrame | None = None, floor: int = 45) -> DataFrame:
     """Duplicate groups of edges (a, b, confidence, match_type) under cannot-link pairs (a, b), a row for each member: group_id, file_path, representative, group_size, confidence, match_type.
 
-    Exact pairs collapse to their smallest member first.  Components without a
-    cannot-link pair or a weak edge and with enough density stand, by aggregates of
-    their edges; only the others are split, one by one, with split_component, whose
-    cuts depend on each other.  Groups of one collapse away unless an exact class
-    stands behind them.  A group's confidence and type are the maxima over its edges;
+    Exact pairs collapse to their smallest member first.  Edges under the floor go:
+    they are the weakest of a component that can't stand.  Components without a
+    cannot-link pair and with enough density stand, pairs that are forbidden part, by
+    aggregates of their edges; only the others are split, each in one task, with
+    split_component, whose cuts depend on each other.  Groups of one collapse away
+    unless an exact class stands behind them.  A group's confidence and type are the maxima over its edges;
     ids count from 1 by confidence, size (both falling) and first member.
     """
     kind = dict(edges.dtypes)["a"]
     pairs = materialize(best_edges(edges), "pairs")
-    exact = components(pairs.where(F.col("rank") == len(TYPES)).select("a", "b"))
+    exact = connected_components(pairs.where(F.col("rank") == len(TYPES)).select("a", "b"))
     rep = exact.select("node", F.col("component").alias("rep"))
     ends = lambda df: df.join(rep.toDF("a", "ra"), "a", "left").join(rep.toDF("b", "rb"), "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
-    soft = (F.col("rank") > 1) | (F.col("confidence") >= floor)
-    quotient = ends(pairs.where(soft)).where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "confidence", "rank")
+    strong = (F.col("rank") == len(TYPES)) | (F.col("confidence") >= floor)
+    quotient = ends(pairs.where(strong)).where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "confidence", "rank")
     quotient = materialize(quotient.groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.max("rank").alias("rank")), "quotient")
     apart = None
     if rejected is not None:
         apart = ends(rejected.select("a", "b")).where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    whole = materialize(components(quotient), "whole")
+    whole = materialize(connected_components(quotient), "whole")
     labelled = quotient.join(whole.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "confidence", F.lit(False).alias("banned"))
     if apart is not None:
         inside = apart.join(whole.toDF("a", "component"), "a").join(whole.toDF("b", "c2"), "b").where("component = c2")
@@ -127,11 +144,12 @@ def group_members(edges: DataFrame, rejected: DataFrame | None = None, floor: in
     n = F.col("n")
     dense = 2 * F.col("links") / (n * (n - 1)) >= F.when(n == 2, 0.0).when(n == 3, 0.65).otherwise(0.70)
     seen = labelled.groupBy("component").agg(F.count_if(~F.col("banned")).alias("links"), F.min("confidence").alias("weakest"), F.count_if("banned").alias("bans"))
-    sound = seen.join(whole.groupBy("component").agg(F.count("*").alias("n")), "component").where((F.col("bans") == 0) & (F.col("weakest") >= floor) & dense)
-    sound = materialize(sound.select("component"), "sound")
-    standing = whole.join(sound, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    split = labelled.join(sound, "component", "left_anti").groupBy("component").applyInPandas(prune, f"rep {kind}, part {kind}")
-    parts = standing.unionByName(split)
+    seen = seen.join(whole.groupBy("component").agg(F.count("*").alias("n")), "component")
+    fate = F.when((F.col("bans") == 0) & (F.col("weakest") >= floor) & dense, "stands").when(F.col("n") == 2, "parts").otherwise("split")
+    fates = materialize(seen.select("component", fate.alias("fate")), "fates")
+    settled = whole.join(fates.where("fate <> 'split'"), "component").select(F.col("node").alias("rep"), F.when(F.col("fate") == "stands", F.col("component")).otherwise(F.col("node")).alias("part"))
+    split = labelled.join(fates.where("fate = 'split'"), "component", "left_semi").groupBy("component").applyInPandas(prune, f"rep {kind}, part {kind}")
+    parts = settled.unionByName(split)
     members = rep.select("node", "rep").unionByName(quotient.select(F.col("a").alias("rep")).unionByName(quotient.select(F.col("b").alias("rep"))).distinct().join(rep.select(F.col("rep").alias("r2")).distinct(), F.col("rep") == F.col("r2"), "left_anti").select(F.col("rep").alias("node"), "rep"))
     placed = materialize(members.join(parts, "rep", "left").select("node", F.coalesce("part", "rep").alias("part")).distinct(), "placed")
     inner = pairs.join(placed.toDF("a", "part"), "a").join(placed.toDF("b", "p2"), "b").where("part = p2").groupBy("part").agg(F.max("confidence").alias("confidence"), F.max("rank").alias("rank"))

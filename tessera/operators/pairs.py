@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.columns import dot, hamming, hash_confidence
 from tessera.operators.ordering import numbered_groups
-from tessera.runtime import materialize, python_workers
+from tessera.runtime import materialize, python_workers, slices
 
 
 def exact_groups(rows: DataFrame, key: str = "exact_hash", member: str = "path") -> DataFrame:
@@ -54,30 +54,50 @@ def hamming_theta(sigs: DataFrame, p_max: int, d_max: int) -> DataFrame:
     return both.where((F.col("p_dist") <= p_max) & (F.col("d_dist") <= d_max))
 
 
+def _edges(n: int) -> list[tuple[int, int]]:
+    """n bands of the 64 bits: (first bit, bits)."""
+    at = [round(64 * i / n) for i in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(at, at[1:], strict=False)]
+
+
 def _bands(signature: str, n: int):
-    """n disjoint bands of the 64 bits: signatures within n - 1 bits agree in one at least."""
-    edges = [round(64 * i / n) for i in range(n + 1)]
+    """n disjoint bands of the 64 bits: signatures within n - 1 bits agree in one at least, and those within 2 n - 1 bits differ in one bit of some band at most."""
     mask = lambda w: (1 << w) - 1 if w < 64 else -1
-    return F.array(*[F.shiftrightunsigned(signature, lo).bitwiseAND(F.lit(mask(hi - lo)).cast("bigint")) for lo, hi in zip(edges, edges[1:], strict=False)])
+    return F.array(*[F.shiftrightunsigned(signature, lo).bitwiseAND(F.lit(mask(w)).cast("bigint")) for lo, w in _edges(n)])
+
+
+def _around(bands: str, n: int):
+    """By band: its value, and all values one bit away."""
+    flips = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(w)]) for _, w in _edges(n)])
+    return F.zip_with(bands, flips, lambda v, f: F.transform(f, lambda x: v.bitwiseXOR(x)))
 
 
 def hamming_join(sigs: DataFrame, p_max: int, d_max: int) -> DataFrame:
-    """The pairs of hamming_theta by pigeonhole: band the tighter signature, join equal bands, verify both, and keep a pair in its first shared band only.
+    """The pairs of hamming_theta by multi-index search on the tighter signature.
+
+    Within d bits, one of d // 2 + 1 bands differs in one bit at most: one side has
+    the bands as keys, the other all values within a bit of its own (for 6 bits, 4
+    bands of 16 bits, so each bucket has 1 / 65,536 of the rows).  Candidates are
+    verified on both signatures and kept in the first band that brings them together.
 
     Equal signatures meet once, as classes, so a large group of copies costs its
-    output and no more candidates.  Null signatures match nothing.
+    output and no more candidates.  Null signatures match nothing; an empty table has
+    no pairs.
     """
     key, most = ("d", d_max) if d_max <= p_max else ("p", p_max)
+    n = most // 2 + 1
     named = sigs.where("p is not null and d is not null")
-    classes = named.select("p", "d").distinct()
-    banded = classes.select("p", "d", _bands(key, most + 1).alias("bands")).select("p", "d", "bands", F.posexplode("bands").alias("band", "v"))
-    x = banded.select("band", "v", F.col("p").alias("pa"), F.col("d").alias("da"), F.col("bands").alias("xs"))
-    y = banded.select("band", "v", F.col("p").alias("pb"), F.col("d").alias("db"), F.col("bands").alias("ys"))
-    earlier = F.array_position(F.zip_with("xs", "ys", lambda s, t: s == t), F.lit(True)) - 1
-    close = x.join(y, ["band", "v"]).where((hamming("pa", "pb") <= p_max) & (hamming("da", "db") <= d_max) & (earlier == F.col("band"))).select("pa", "da", "pb", "db")
+    classes = named.select("p", "d").distinct().withColumn("bands", _bands(key, n))
+    x = classes.select(F.col("p").alias("pa"), F.col("d").alias("da"), F.col("bands").alias("xs"), F.posexplode(_around("bands", n)).alias("band", "near")).withColumn("v", F.explode("near")).drop("near")
+    y = classes.select(F.col("p").alias("pb"), F.col("d").alias("db"), F.col("bands").alias("ys"), F.posexplode("bands").alias("band", "v"))
+    earlier = F.array_position(F.zip_with("xs", "ys", lambda s, t: hamming(s, t) <= 1), F.lit(True)) - 1
+    ordered = (F.col("pa") < F.col("pb")) | ((F.col("pa") == F.col("pb")) & (F.col("da") <= F.col("db")))
+    close = x.join(y, ["band", "v"]).where(ordered & (hamming("pa", "pb") <= p_max) & (hamming("da", "db") <= d_max) & (earlier == F.col("band"))).select("pa", "da", "pb", "db")
     left = named.select(F.col("id").alias("a"), F.col("p").alias("pa"), F.col("d").alias("da"))
     right = named.select(F.col("id").alias("b"), F.col("p").alias("pb"), F.col("d").alias("db"))
-    return close.join(left, ["pa", "da"]).join(right, ["pb", "db"]).where("a < b").select("a", "b", hamming("pa", "pb").alias("p_dist"), hamming("da", "db").alias("d_dist"))
+    same = (F.col("pa") == F.col("pb")) & (F.col("da") == F.col("db"))
+    both = close.join(left, ["pa", "da"]).join(right, ["pb", "db"]).where(~same | (F.col("a") < F.col("b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming("pa", "pb").alias("p_dist"), hamming("da", "db").alias("d_dist"))
 
 
 def crop_join(sigs: DataFrame, most: int = 2) -> DataFrame:
@@ -99,46 +119,102 @@ def near_duplicates(sigs: DataFrame, p_max: int = 8, d_max: int = 6, base: float
     return best.select("a", "b", hash_confidence("p_dist", "d_dist", base, decay).alias("confidence"), F.lit("near_exact").alias("match_type"), "p_dist", "d_dist")
 
 
-def cosine_topk(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(i, j, similarity) of the k nearest rows j, i itself included, of each row of vectors (id, embedding); ties by id.
+#: Rows of a block of vectors, about.
+BLOCK = 4096
 
-    Blocks of vectors meet every block as Arrow batches; each pair of blocks keeps
-    k rows for each query, so what is written is k rows for each query and block.
-    """
-    spark = vectors.sparkSession
-    python_workers(spark)
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "vectors")
-    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("rows"))
-    x = packed.select(F.col("block").alias("p"), F.col("rows").alias("queries"))
-    x = x.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    y = packed.select(F.col("block").alias("q"), F.col("rows").alias("targets"))
+
+def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ids and vectors of rows (id, embedding, keys): a row for each group, its vectors as one buffer of 64-bit floats, sorted by id."""
+    kinds = dict(rows.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("id")
+        column = table.column("embedding").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        raw = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).tobytes()
+        one = {k: table.column(k)[:1] for k in keys}
+        return pa.table({**one, "ids": pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)), "vectors": pa.array([raw], pa.binary())})
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"ids array<{kinds['id']}>", "vectors binary"])
+    return rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), *keys).groupBy(*keys).applyInArrow(run, schema)
+
+
+def best_of(sims: np.ndarray, ids: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, similarity, id) of the k best for each query, of those held and the columns of sims; equal similarities by id."""
+    m = sims.shape[1]
+    least = np.partition(sims, m - k, axis=1)[:, m - k] if m > k else np.full(len(sims), -np.inf)
+    row, at = np.nonzero(sims >= least[:, None])
+    row, value, name = (np.concatenate(x) for x in zip(held, (row, sims[row, at], ids[at]), strict=True))
+    order = np.lexsort((name, -value, row))
+    row, value, name = row[order], value[order], name[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return tuple(x[place < k] for x in (row, value, name))
+
+
+def _topk_stream(k: int, kind: pa.DataType):
+    """Runs of equal `key`, the queries' block first (own): the k best targets of each query over all blocks of the run, with one block of targets in memory."""
 
     def run(batches):
+        key = queries = held = names = None
+
+        def flush():
+            row, value, name = held
+            return pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), kind), pa.array(name.tolist(), kind), pa.array(value)], ["i", "j", "similarity"])
+
         for batch in batches:
-            for queries, targets in zip(batch.column("queries").to_pylist(), batch.column("targets").to_pylist(), strict=True):
-                a, b = np.array([r["embedding"] for r in queries]), np.array([r["embedding"] for r in targets])
-                ids = np.array([r["id"] for r in targets])
-                # sums in the order of the elements, as SQL adds them
-                sims = np.zeros((len(a), len(b)))
-                for t in range(a.shape[1]):
-                    sims += a[:, t, None] * b[None, :, t]
-                top = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([r["id"] for r in queries], top.shape[1]), pa.int64()), pa.array(ids[top].ravel(), pa.int64()), pa.array(np.take_along_axis(sims, top, 1).ravel())], ["i", "j", "similarity"]
-                )
-
-    found = x.join(y, "q").select("queries", "targets").mapInArrow(run, "i long, j long, similarity double")
+            for r in range(len(batch)):
+                ids = np.array(batch.column("ids")[r].as_py())
+                x = np.frombuffer(batch.column("vectors")[r].as_buffer(), np.float64).reshape(len(ids), -1)
+                now = batch.column("key")[r].as_py()
+                if now != key:
+                    if held is not None:
+                        yield flush()
+                    key, queries, names, held = now, x, ids, (np.zeros(0, np.int64), np.zeros(0), ids[:0])
+                if batch.column("targets")[r].as_py():
+                    held = best_of(np.round(queries @ x.T, 12), ids, held, k)
+        if held is not None:
+            yield flush()
+
+    return run
+
+
+def _search(blocks: DataFrame, k: int, kind: str) -> DataFrame:
+    """(i, j, similarity) of blocks (key, own, targets, ids, vectors): the k best for each query, over all keys that it has."""
+    spark = blocks.sparkSession
+    python_workers(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    laid = blocks.repartition(parts, "key").sortWithinPartitions("key", F.desc("own"))
+    arrow = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    found = laid.select("key", "targets", "ids", "vectors").mapInArrow(_topk_stream(k, arrow), f"i {kind}, j {kind}, similarity double")
     order = Window.partitionBy("i").orderBy(F.desc("similarity"), "j")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
+def cosine_topk(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(i, j, similarity) of the k nearest rows j, i itself included, of each row of vectors (id, embedding); ties by id.
+
+    Blocks of about `block` vectors are packed as float buffers; a block of queries
+    meets every block in turn in one stream, a matrix product each, and keeps only k
+    rows for each query, so a task holds two blocks and writes k rows for each of its
+    queries.  Every pair is compared: the work grows with the square of the rows, and
+    larger blocks mean fewer copies.  Rows with a null id or embedding are left out;
+    ids are integers or strings; an empty table has no neighbours.
+    """
+    rows = vectors.where("id is not null and embedding is not null")
+    blocks = max(1, -(-rows.count() // block))
+    packed = materialize(_pack(rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")), ["block"]), "blocks")
+    meet = packed.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("own", F.col("key") == F.col("block")).withColumn("targets", F.lit(True))
+    return _search(meet, k, dict(rows.dtypes)["id"])
+
+
+def _candidates(near: DataFrame, threshold: float) -> DataFrame:
+    near = near.where((F.col("i") != F.col("j")) & (F.col("similarity") >= threshold))
+    return near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
 def cosine_candidates(vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs a < b where either is among the k nearest of the other (itself counted) and the similarity reaches the threshold."""
-    near = cosine_topk(vectors, k).where((F.col("i") != F.col("j")) & (F.col("similarity") >= threshold))
-    return near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("similarity").alias("similarity"))
+    return _candidates(cosine_topk(vectors, k), threshold)
 
 
 def knn_single(vectors: DataFrame, query: list[float], k: int, threshold: float) -> DataFrame:
@@ -147,50 +223,78 @@ def knn_single(vectors: DataFrame, query: list[float], k: int, threshold: float)
     return vectors.select("id", dot("embedding", q).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k).where(F.col("similarity") >= threshold)
 
 
-def train_cells(vectors: DataFrame, nlist: int = 100, seed: int = 42, sample: int = 20_000) -> np.ndarray:
-    """Cell centres by spherical k-means on at most `sample` rows in seeded hash order: a tenth as many cells as rows at most."""
-    cells = max(1, min(nlist, vectors.count() // 10))
-    chosen = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("embedding").collect()
+def cell_count(rows: int) -> int:
+    """Cells of an index over so many rows: four times the root, a tenth of the rows at most."""
+    return max(1, min(int(4 * rows**0.5), rows // 10))
+
+
+def train_cells(vectors: DataFrame, nlist: int | None = None, seed: int = 42, sample: int = 20_000) -> np.ndarray:
+    """Cell centres by spherical k-means on at most `sample` rows in seeded hash order: nlist or cell_count cells, a tenth as many as rows at most."""
+    rows = vectors.where("id is not null and embedding is not null")
+    n = rows.count()
+    cells = max(1, min(nlist if nlist is not None else cell_count(n), n // 10))
+    chosen = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("embedding").collect()  # `sample` rows at most
     x = np.array([r["embedding"] for r in chosen], dtype=float).reshape(len(chosen), -1)
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:cells]].copy() if len(x) else np.zeros((0, 0))
     for _ in range(15 if len(x) else 0):
         label = (x @ centres.T).argmax(axis=1)
-        for c in range(len(centres)):
-            if (label == c).any():
-                m = x[label == c].sum(axis=0)
-                centres[c] = m / max(1e-12, np.linalg.norm(m))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, label, x)
+        full = np.bincount(label, minlength=len(centres)) > 0
+        centres[full] = sums[full] / np.maximum(1e-12, np.linalg.norm(sums[full], axis=1, keepdims=True))
     return centres
 
 
 def nearest_cells(vectors: DataFrame, centres: np.ndarray, many: int) -> DataFrame:
-    """(id, embedding, cells): the nearest cells of each row of vectors."""
+    """(id, embedding, cells): the nearest cells of each row of vectors; rows with a null id or embedding are left out."""
     spark = vectors.sparkSession
     python_workers(spark)
-    held = spark.sparkContext.broadcast(centres)
+    held = spark.sparkContext.broadcast(centres)  # at most a tenth of train_cells' sample
 
     def run(batches):
-        for batch in batches:
-            v = np.array(batch.column("embedding").to_pylist(), dtype=float).reshape(len(batch), -1)
-            near = np.argsort(-(v @ held.value.T), axis=1, kind="stable")[:, :many].astype(np.int32) if len(batch) else np.zeros((0, many), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32()))], ["id", "embedding", "cells"])
+        for batch in slices(batches, 4096):
+            v = np.ascontiguousarray(batch.column("embedding").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(batch), -1)
+            near = np.argsort(-(v @ held.value.T), axis=1, kind="stable")[:, :many].astype(np.int32)
+            ends = np.arange(len(batch) + 1, dtype=np.int32) * near.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.ListArray.from_arrays(ends, near.ravel())], ["id", "embedding", "cells"])
+
+    rows = vectors.where("id is not null and embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, embedding array<double>, cells array<int>")
 
-    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "id long, embedding array<double>, cells array<int>")
 
+def ivf_topk(vectors: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None, seed: int = 42, sample: int = 20_000, block: int = BLOCK) -> DataFrame:
+    """cosine_topk by cells: every row is a target in its nearest cell, and a query in its nprobe nearest cells (a tenth of them, ten at least, where it isn't given).
 
-def ivf_candidates(vectors: DataFrame, k: int, threshold: float, nlist: int = 100, nprobe: int = 10, seed: int = 42, sample: int = 20_000) -> DataFrame:
-    """cosine_candidates by cells: every row in its nearest cell, queries in their nprobe nearest cells."""
+    A cell's queries and targets are packed into blocks of about `block` rows, so a
+    large cell is many tasks; a block of queries meets its cell's blocks in one stream.
+    """
     centres = train_cells(vectors, nlist, seed, sample)
-    index = nearest_cells(vectors, centres, 1).select(F.col("id").alias("j"), F.col("embedding").alias("y"), F.get("cells", F.lit(0)).alias("cell"))
-    ask = nearest_cells(vectors, centres, min(nprobe, max(1, len(centres)))).select(F.col("id").alias("i"), F.col("embedding").alias("x"), F.explode("cells").alias("cell"))
-    sims = ask.join(index, "cell").select("i", "j", dot("x", "y").alias("similarity"))
-    order = Window.partitionBy("i").orderBy(F.desc("similarity"), "j")
-    near = sims.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("i") != F.col("j")) & (F.col("similarity") >= threshold))
-    return near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("similarity").alias("similarity"))
+    probes = min(nprobe if nprobe is not None else max(10, -(-len(centres) // 10)), max(1, len(centres)))
+    near = materialize(nearest_cells(vectors, centres, probes), "cells")
+    ask = near.select("id", "embedding", F.explode("cells").alias("cell"))
+    home = near.select("id", "embedding", F.get("cells", F.lit(0)).alias("cell"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        n = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))  # a row for each cell
+        return materialize(_pack(rows.join(F.broadcast(n), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")), ["cell", "part", "n"]), "blocks")
+
+    x, y = packed(ask), packed(home)
+    key = F.col("cell").cast("long") * F.lit(1 << 32) + F.col("part")
+    asked = x.select(key.alias("key"), F.lit(True).alias("own"), F.lit(False).alias("targets"), "ids", "vectors")
+    parts = x.select("cell", "n").distinct()  # a row for each cell
+    meet = y.drop("part", "n").join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # parts that hash left empty have no queries
+    meet = meet.join(F.broadcast(x.select("cell", "part")), ["cell", "part"], "left_semi").select(key.alias("key"), F.lit(False).alias("own"), F.lit(True).alias("targets"), "ids", "vectors")
+    return _search(asked.unionByName(meet), k, dict(near.dtypes)["id"])
+
+
+def ivf_candidates(vectors: DataFrame, k: int, threshold: float, nlist: int | None = None, nprobe: int | None = None, seed: int = 42, sample: int = 20_000) -> DataFrame:
+    """cosine_candidates by cells (ivf_topk)."""
+    return _candidates(ivf_topk(vectors, k, nlist, nprobe, seed, sample), threshold)
 
 
-def save_index(vectors: DataFrame, folder: str, nlist: int = 100, seed: int = 42, sample: int = 20_000) -> None:
+def save_index(vectors: DataFrame, folder: str, nlist: int | None = None, seed: int = 42, sample: int = 20_000) -> None:
     """Cell centres, and all rows partitioned by cell, as Parquet under folder."""
     centres = train_cells(vectors, nlist, seed, sample)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]

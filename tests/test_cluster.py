@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
 
-from tessera.operators.cluster import build_groups, components, split_component
+from tessera.operators.cluster import build_groups, split_component
+from tessera.operators.graph import connected_components
 
 EDGE = "a string, b string, confidence int, match_type string"
 
@@ -45,7 +47,77 @@ def test_empty(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {r.node: r.component for r in components(edges).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+    assert {r.node: r.component for r in connected_components(edges).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def plain_split(nodes, edges, banned, floor=45):
+    """The published rule, step by step, with everything looked up anew."""
+    queue, out = [(set(nodes), list(edges))], []
+    while queue:
+        part, inside = queue.pop()
+        # what is connected
+        left, parts = set(part), []
+        while left:
+            found, todo = set(), [min(left)]
+            while todo:
+                x = todo.pop()
+                found.add(x)
+                todo += [y for a, b, _ in inside for y in ((b,) if a == x else (a,) if b == x else ()) if y not in found]
+            left -= found
+            parts.append(found)
+        if len(parts) > 1:
+            queue += [(p, [e for e in inside if e[0] in p]) for p in parts]
+            continue
+        n = len(part)
+        apart = any(a in part and b in part for a, b in banned)
+        weak = any(c < floor for _, _, c in inside)
+        if n == 1 or (not apart and not weak and (n == 2 or 2 * len(inside) / (n * (n - 1)) >= (0.65 if n == 3 else 0.7))):
+            out.append(part)
+        else:
+            gone = min(inside, key=lambda e: (e[2], e[0], e[1]))
+            queue.append((part, [e for e in inside if e is not gone]))
+    return out
+
+
+def test_split_against_the_plain_rule():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(2, 9)
+        edges = [(i, j, rng.randint(40, 60)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
+        nodes = {x for a, b, _ in edges for x in (a, b)}
+        banned = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(0, 2))}
+        if nodes:
+            assert sorted(map(sorted, split_component(nodes, edges, banned))) == sorted(map(sorted, plain_split(nodes, edges, banned)))
+
+
+def test_a_large_component_is_split_quickly():
+    rng = random.Random(4)
+    edges = [(i, j, 50 + rng.randint(0, 40)) for i in range(400) for j in range(i + 1, min(400, i + 40))]
+    began = time.time()
+    parts = split_component(set(range(400)), edges, {(0, 399), (10, 60)})
+    assert sum(map(len, parts)) == 400 and not any({0, 399} <= p or {10, 60} <= p for p in parts) and time.time() - began < 20
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    """A node of a third of all edges and more is broadcast, with the same result."""
+    from tessera.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 20)
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 200)] + [(5000 + i, 5001 + i) for i in range(30)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(400)}, **{i + 1000: 0 for i in range(1, 200)}, **{5000 + i: 5000 for i in range(31)}}
+
+
+def test_hot_join(spark, monkeypatch):
+    from tessera.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    left = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(60)] + [(None, 99)], "k long, x long")
+    right = spark.createDataFrame([(1, "a", 30), (2, "b", 1), (4, "c", 1)], "k long, y string, n long")
+    plain = left.join(right.drop("n"), "k")
+    assert sorted(map(tuple, skew.hot_join(left, right, ["k"], "n").collect())) == sorted(map(tuple, plain.collect()))
+    assert skew.hot_join(left, right, ["k"], "n", "left").count() == 61 and skew.hot_join(left, right, ["k"], "n", "left_semi").count() == 32
+    assert skew.hot_join(left, right.limit(0), ["k"], "n").count() == 0
 
 
 def test_random_graphs_against_the_split(spark):
@@ -57,7 +129,7 @@ def test_random_graphs_against_the_split(spark):
         edges += [(x, y, rng.randint(30, 100), "near_exact") for i, x in enumerate(names) for y in names[i + 1 :] if rng.random() < 0.8]
         banned += [tuple(rng.sample(names, 2)) for _ in range(rng.random() < 0.3)]
     want = []
-    for c in {r.component for r in components(spark.createDataFrame(edges, EDGE)).collect()}:
+    for c in {r.component for r in connected_components(spark.createDataFrame(edges, EDGE)).collect()}:
         inside = [(a, b, conf) for a, b, conf, _ in edges if a[:2] == c[:2]]
         nodes = {x for a, b, _ in inside for x in (a, b)}
         for root in sorted(nodes):  # the parts of this prefix that are connected

@@ -5,11 +5,15 @@ from __future__ import annotations
 import glob
 import math
 import os
+import random
+from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera import plans
+from tessera.operators import pairs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,6 +51,52 @@ def test_ivf_recall(spark):
     assert found <= exact and len(found) >= 0.9 * len(exact)
 
 
+def clustered(spark, n=3_000, ids="long"):
+    """Vectors around 40 directions, as those of pictures lie, with some equal ones and nulls."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, n)] + 0.4 * rng.normal(size=(n, 24))
+    x[10:13] = x[9]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i if ids == "long" else f"v{i:05d}", [float(v) for v in r]) for i, r in enumerate(x)] + [(n if ids == "long" else "w", None), (None, [0.0] * 24)]
+    return x, spark.createDataFrame(rows, f"id {ids}, embedding array<double>").repartition(5)
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_cosine_in_many_blocks(spark, ids):
+    x, df = clustered(spark, 700, ids)
+    got = defaultdict(list)
+    for r in pairs.cosine_topk(df, 6, block=90).collect():
+        got[int(str(r.i).lstrip("v"))].append((-r.similarity, int(str(r.j).lstrip("v"))))
+    sims = np.round(x @ x.T, 9)
+    for i in range(700):
+        want = sorted((-s, j) for j, s in enumerate(sims[i].tolist()))[:6]
+        assert [j for _, j in sorted((round(s, 9), j) for s, j in got[i])] == [j for _, j in want]
+    assert pairs.cosine_topk(df.limit(0), 3).count() == 0
+
+
+def test_ivf_recall_at_default_settings(spark):
+    """A tenth of the cells, each in several blocks, finds nine of ten neighbours of grouped vectors."""
+    x, df = clustered(spark)
+    want = {(i, j) for i, r in enumerate(np.argsort(-(x @ x.T), axis=1, kind="stable")[:, :10].tolist()) for j in r}
+    found = {(r.i, r.j) for r in pairs.ivf_topk(df, 10, block=64).collect()}
+    assert len(found & want) >= 0.9 * len(want)
+    assert pairs.ivf_topk(df.limit(0), 3).count() == 0
+
+
+def test_hamming_join_against_all_pairs(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        p, d = rng.getrandbits(64), rng.getrandbits(64)
+        for k in range(3):
+            rows.append((3 * i + k, p - (1 << 63), d - (1 << 63)))
+            p, d = (v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for v in (p, d))
+    rows += [(1000, rows[0][1], rows[0][2]), (1001, rows[0][1], rows[0][2]), (1002, None, 5)]
+    df = spark.createDataFrame(rows, "id long, p long, d long")
+    for p_max, d_max in ((8, 6), (3, 9), (0, 0), (1, 1)):
+        assert sorted(map(tuple, pairs.hamming_join(df, p_max, d_max).collect())) == sorted(map(tuple, pairs.hamming_theta(df, p_max, d_max).collect()))
+
+
 def test_bench_times_registered_queries():
     import bench
 

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
@@ -40,6 +41,47 @@ def test_truth_sources(spark, tmp_path):
     assert [r.file_name for r in files.read_seeds(spark, str(tmp_path / "s.json")).collect()] == ["b.png", "a.png"]
 
 
+def test_manifest_keys_and_files(spark, tmp_path):
+    at = tmp_path / "m.json"
+    at.write_text(json.dumps({"Z_Sofas": [{"model_id": "m", "primary_file": "a.png", "all_views": ["a.png"]}], "A_Sofas": [{"model_id": "n", "primary_file": "b.png", "all_views": []}], "Empty": []}, indent=2))
+    read = lambda *a, **k: [r.model_id for r in files.read_manifest(spark, str(at), *a, **k).collect()]
+    assert read("sofas") == ["m"] and read("A_Sofas") == ["n"] and read() == read("merged") == ["m", "n"] and read("empty") == []
+    (tmp_path / "have").mkdir()
+    (tmp_path / "have" / "b.png").write_bytes(b"x")
+    assert read(folder=str(tmp_path / "have")) == ["n"]
+    with pytest.raises(ValueError, match="Z_Sofas"):
+        read("tables")
+
+
+def test_demo_listing(spark, tmp_path):
+    for name in ("b.JPG", "a.png", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.file_name for r in files.demo_images(spark, str(tmp_path), (".png", ".jpg")).collect()] == ["a.png", "b.JPG"]
+    assert files.demo_images(spark, str(tmp_path / "none"), (".png",)).count() == 0
+
+
+def test_scorecards(spark, tmp_path):
+    scores = {"tp": 9, "fp": 1, "fn": 3, "precision": 90.0, "recall": 75.0, "f1": 81.82, "controls": 4, "violations": 1}
+    text = sinks.scorecard_text(scores)
+    assert "90.00%" in text and "3 / 4" in text and text.endswith("failed") and sinks.scorecard_text({**scores, "precision": 96.0, "recall": 92.0}).endswith("passed")
+    df = spark.createDataFrame([(100, 96.5), (40, 99.0)], "target_scale int, precision double")
+    assert [r["target_scale"] for r in json.loads(open(sinks.scorecard_json(df, str(tmp_path / "s.json"))).read())] == [40, 100]
+    assert json.loads(open(sinks.scorecard_json(df.limit(1), str(tmp_path / "t.json"))).read())["precision"] == 96.5
+
+
+def test_truth_document(spark, tmp_path):
+    members = spark.createDataFrame([("p", "b"), ("p", "a"), ("q", "c")], "group_id string, file_name string")
+    controls = spark.createDataFrame([("v.png", "p", "sofa", "navy")], "variant_file string, original_product string, category string, color string")
+    got = json.loads(open(sinks.write_truth(members, controls, 40, str(tmp_path / "t.json"))).read())
+    assert got["true_duplicate_clusters"] == {"p": ["a", "b"]} and got["unique_files"] == ["c", "v.png"] and (got["target_count"], got["actual_count"]) == (40, 4)
+
+
+def test_large_workbook_comes_back(spark, tmp_path):
+    df = spark.range(3_000).select(F.col("id").cast("int").alias("group_id"), F.concat(F.lit("<&> "), "id").alias("file_path"), F.lit(None).cast("string").alias("file_name"), F.lit(80).alias("confidence"), F.lit("exact").alias("match_type"), F.lit(2).alias("group_size"))
+    path = sinks.write_workbook({"Other": df.limit(1), "Duplicates": df}, str(tmp_path / "r.xlsx"), "confidence")
+    assert sorted(files.read_workbook(spark, path, sheet="Duplicates").collect()) == sorted(df.collect()) and files.read_workbook(spark, path).count() == 1
+
+
 def test_unzip_skips_unsafe_members(spark, tmp_path):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
