@@ -51,6 +51,12 @@ def distinct_seeds(seeds: DataFrame, p_max: int = 8, d_max: int = 6, n: int | No
     return out.orderBy("path").limit(n) if n is not None else out
 
 
+def models(rows: DataFrame, name: str = "file_name") -> DataFrame:
+    """(model_id, primary_file, all_views) of files by their cleaned stem, views in name order; a model's views fit a row."""
+    stem = model_stem(F.regexp_replace(name, r"\.[^.]*$", ""))
+    return rows.groupBy(stem.alias("model_id")).agg(F.min(name).alias("primary_file"), F.array_sort(F.collect_list(name)).alias("all_views"))
+
+
 def capped_classes(rows: DataFrame, name: str, rules: list[tuple[str, list[str], list[str]]], cap: int, default: str) -> DataFrame:
     """rows with class: the first rule (class, firm keywords, soft keywords) that takes the name, in name order.
 

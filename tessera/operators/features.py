@@ -26,3 +26,22 @@ def upsert(features: DataFrame, fresh: DataFrame, at: str = "processed_at") -> D
 
 def with_embedding(features: DataFrame) -> DataFrame:
     return features.where("embedding is not null")
+
+
+def count_features(features: DataFrame) -> DataFrame:
+    """One row: files in the feature table, and those with an embedding."""
+    keys = features.groupBy(*KEY).agg(F.max(F.col("embedding").isNotNull()).alias("e"))
+    return keys.agg(F.count("*").alias("files"), F.count_if("e").alias("embedded"))
+
+
+PALETTE = "array<array<double>>"
+
+
+def encode_palette(column: str):
+    """A palette as the JSON text that a feature table holds."""
+    return F.to_json(F.col(column))
+
+
+def decode_palette(column: str):
+    """The palette in a JSON text; null where it is none."""
+    return F.from_json(F.col(column), PALETTE)

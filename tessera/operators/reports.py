@@ -31,6 +31,21 @@ def inventory_order():
     return [rank, F.coalesce("group_id", F.lit(999_999)), F.col("file_name"), F.col("file_path")]
 
 
+def kept(stock: DataFrame) -> DataFrame:
+    """The rows of an inventory that stay."""
+    return stock.where(F.col("recommended_action").isin("KEEP_UNIQUE", "KEEP_MASTER"))
+
+
+def archived(stock: DataFrame) -> DataFrame:
+    """The rows of an inventory that go to the archive."""
+    return stock.where(F.col("recommended_action") == "ARCHIVE_DUPLICATE")
+
+
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    """How often each value occurs, the most frequent first; nulls don't count."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
 def summary(images: DataFrame, members: DataFrame) -> DataFrame:
     """(metric, value) as text: five totals, then a count for each match type."""
     total = images.agg(F.count("*").alias("total"))

@@ -153,3 +153,42 @@ def rejected_sample(spark, d):
 @query("SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, l_orderkey, l_linenumber FROM lineitem")
 def ordered_pairs(spark, d):
     return pairs.ordered_pairs(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), "l_orderkey", "l_linenumber"))
+
+
+@query("SELECT p_type AS value, count(*)::BIGINT AS n, (row_number() OVER (ORDER BY count(*) DESC, p_type) - 1)::BIGINT AS place FROM part GROUP BY 1")
+def value_counts(spark, d):
+    rows = reports.value_counts(table(spark, d, "part"), "p_type").withColumnRenamed("p_type", "value")
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+@query(r"WITH n AS (SELECT p_name || CASE p_partkey % 4 WHEN 0 THEN '_12' WHEN 1 THEN '_Angle3' WHEN 2 THEN '_ORIGINAL_x' ELSE ' (2)' END AS stem FROM part) SELECT trim(lower(regexp_replace(stem, '(_[0-9]+|_angle[0-9]+|_view[0-9]+|_original.*|\s*\([0-9]+\))$', '', 'i'))) AS model_id, min(stem || '.png') AS primary_file, count(*)::BIGINT AS views, md5(string_agg(stem || '.png', ',' ORDER BY stem || '.png')) AS digest FROM n GROUP BY 1")
+def model_members(spark, d):
+    k = F.col("p_partkey") % 4
+    tail = F.when(k == 0, "_12.png").when(k == 1, "_Angle3.png").when(k == 2, "_ORIGINAL_x.png").otherwise(" (2).png")
+    found = catalogue.models(table(spark, d, "part").select(F.concat("p_name", tail).alias("file_name")))
+    return found.select("model_id", "primary_file", F.size("all_views").cast("long").alias("views"), F.md5(F.array_join("all_views", ",")).alias("digest"))
+
+
+@query("SELECT count(DISTINCT (user_id, event_type))::BIGINT AS files, count(DISTINCT CASE WHEN event_id % 3 = 0 THEN (user_id, event_type) END)::BIGINT AS embedded FROM events")
+def cached_features(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("file_path"), F.col("event_type").alias("content_hash"), F.when(F.col("event_id") % 3 == 0, F.array("value")).alias("embedding"))
+    return features.count_features(rows)
+
+
+@query("""WITH g AS (SELECT text, count(*) AS n, min(doc_id) AS first_ FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT 'archived' AS part, count(*)::BIGINT AS n, coalesce(sum(doc_id), 0)::BIGINT AS ids FROM documents JOIN g USING (text) WHERE g.n > 1 AND doc_id <> first_
+UNION ALL SELECT 'kept', count(*)::BIGINT, coalesce(sum(doc_id), 0)::BIGINT FROM documents LEFT JOIN g USING (text) WHERE g.n IS NULL OR g.n = 1 OR doc_id = first_""")
+def kept_and_archived(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.format_string("doc/%010d", "doc_id").alias("path"), F.sha2("text", 256).alias("exact_hash"), F.octet_length("text").alias("length"))
+    stock = materialize(reports.inventory(docs.withColumn("sha256", F.col("exact_hash")), pairs.exact_members(docs)), "stock")
+    part = lambda name, df: df.join(docs.withColumnRenamed("path", "file_path"), "file_path").agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids")).select(F.lit(name).alias("part"), "n", "ids")
+    return part("kept", reports.kept(stock)).unionByName(part("archived", reports.archived(stock)))
+
+
+@query("SELECT s_suppkey, round(s_suppkey % 100 + 0.5, 3)::DOUBLE AS l, 0.25::DOUBLE AS share, s_suppkey % 5 = 0 AS broken FROM supplier")
+def palette_json(spark, d):
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select("s_suppkey", F.array(F.array(k % 100 + 0.5, F.lit(1.0), F.lit(-2.5), F.lit(0.25))).alias("palette"))
+    text = F.when(k % 5 == 0, "no json").otherwise(features.encode_palette("palette"))
+    back = rows.withColumn("text", text).withColumn("back", features.decode_palette("text"))
+    first = F.get(F.coalesce("back", "palette"), F.lit(0))
+    return back.select("s_suppkey", F.round(F.get(first, F.lit(0)), 3).alias("l"), F.get(first, F.lit(3)).alias("share"), F.col("back").isNull().alias("broken"))

@@ -184,3 +184,44 @@ def image_folder_run(spark, d):
     result = run(spark, f"{folder}/in", make_config({"use_background_removal": False, "color_min_pixel_count": 50}), output=f"{folder}/report")
     names = F.array_join(F.transform("members", lambda m: F.element_at(F.split(m, "/"), -1)), ",")
     return result.groups.select("group_id", names.alias("members"), "confidence", "match_type")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS seq, 'up' || (s_nationkey % 4) || '.png' AS name FROM supplier), n AS (SELECT seq, name, row_number() OVER (PARTITION BY name ORDER BY seq) - 1 AS k FROM s)
+SELECT CASE WHEN k = 0 THEN name ELSE k || '_' || name END AS file_name, md5(seq::VARCHAR) AS digest FROM n""")
+def staged_uploads(spark, d):
+    """Uploads of equal names staged side by side, then listed."""
+    folder = _folder(spark)
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("up"), F.col("s_nationkey") % 4, F.lit(".png")).alias("name"))
+    files.stage_files(rows.withColumn("content", F.col("seq").cast("string").cast("binary")), folder)
+    return files.discover(spark, folder, (".png",)).select(base_name("path").alias("file_name"), F.md5("content").alias("digest"))
+
+
+@query("SELECT s_suppkey || '.bin' AS file_name, sha256((s_suppkey % 7)::VARCHAR) AS content_hash FROM supplier")
+def incremental_digests(spark, d):
+    """Files streamed into the feature table by their digests, twice, with nothing added the second time."""
+    from tessera.streaming.incremental import digest_stream, feature_sink
+
+    folder = _folder(spark)
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(F.concat_ws("/", F.lit(f"{folder}/in"), F.concat(k.cast("string"), F.lit(".bin"))).alias("target"), (k % 7).cast("string").cast("binary").alias("content"))
+    sinks.copy_files(rows)
+    schema = spark.read.format("binaryFile").load(f"{folder}/in").schema
+    for turn in range(2):
+        stream = spark.readStream.format("binaryFile").schema(schema).load(f"{folder}/in")
+        work = digest_stream(stream).writeStream.foreachBatch(feature_sink(f"{folder}/features")).option("checkpointLocation", f"{folder}/state{turn}").trigger(availableNow=True).start()
+        work.awaitTermination()
+    return spark.read.parquet(f"{folder}/features").select(base_name("file_path").alias("file_name"), "content_hash")
+
+
+@query("SELECT event_type, user_id::BIGINT AS user_id FROM events GROUP BY ALL")
+def stream_dedup(spark, d):
+    """The first event of each kind and user of a stream, inside a watermark that spans the table."""
+    from tessera.streaming.incremental import dedup_stream
+
+    folder = _folder(spark)
+    table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", F.concat_ws("/", "event_type", "user_id").alias("key")).write.parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").schema
+    rows = dedup_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), "key", "ts", "100000 hours")
+    work = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    work.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out").select("event_type", F.col("user_id").cast("long").alias("user_id"))

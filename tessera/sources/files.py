@@ -99,6 +99,14 @@ def stage_names(names: DataFrame) -> DataFrame:
     return names.withColumn("staged", F.when(n == 1, F.col("name").cast("string")).otherwise(F.concat_ws("_", (n - 1).cast("string"), "name")))
 
 
+def stage_files(uploads: DataFrame, folder: str) -> DataFrame:
+    """Copies of uploads (seq, name, content) under folder by their staged names: name, staged, target."""
+    from tessera.sources.sinks import copy_files
+
+    staged = stage_names(uploads).withColumn("target", F.concat_ws("/", F.lit(folder.rstrip("/")), "staged"))
+    return copy_files(staged.select("name", "staged", "target", "content"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

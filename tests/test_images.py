@@ -204,3 +204,13 @@ def test_registered_functions(spark):
     row = spark.sql("SELECT hamming(7, 1) AS h, hash_hex(-1) AS x, confidence_band(75) AS b, model_stem('Sofa_View2 ') AS s, model_stem('Sofa (2)') AS t, lab(255, 255, 255).l AS l").first()
     assert (row.h, row.x, row.b, row.t) == (2, "f" * 16, "medium", "sofa") and abs(row.l - 100) < 0.01
     assert spark.sql("SELECT palette_distance(array(array(50D, 10D, 0D, 1D)), array(array(50D, 10D, 3D, 1D))) AS d").first().d == pytest.approx(3)
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    (tmp_path / "c.yaml").write_text("color:\n  use_background_removal: false\n  color_min_pixel_count: 50\n")
+    assert main([str(folder), "--output", str(tmp_path / "r"), "--config", str(tmp_path / "c.yaml"), "--sample", "2"]) == 0
+    assert "r_telemetry.json" in capsys.readouterr().out and (tmp_path / "r.csv").exists()
+    with pytest.raises(SystemExit):
+        main([str(folder), "--output", "x", "--resume"])
