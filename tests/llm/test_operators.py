@@ -527,6 +527,20 @@ def test_placement_cuts_no_more_than_brute_force():
         assert all(sum(r for _, r in p) == sizes[h] for h, p in cut.items()) and min(room) >= 0 and len(whole) + len(cut) == len(sizes)
 
 
+def test_hot_keys_change_nothing(spark, docs, monkeypatch):
+    """Every operator that deals out hot keys, with keys of three rows and more taken as hot."""
+    from tessera.operators import skew
+
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", "source")
+    same = spark.createDataFrame([(500 + i, f"template line with one slot {i} that many documents share in full token = 'abcdef99' me@x.example.org", "s") for i in range(12)], "doc_id long, text string, source string")
+    rows = named.unionByName(same).repartition(4)
+    runs = (lambda: minhash_components(rows, width=2), lambda: line_digest(rows), lambda: scan_secrets(rows), lambda: extract_pii(rows), lambda: shard_documents(rows, shards=4))
+    plain = [sorted(map(str, run().collect())) for run in runs]
+    monkeypatch.setattr(skew, "LEAST", 2)
+    monkeypatch.setattr(skew, "PARTS", 1_000_000)
+    assert [sorted(map(str, run().collect())) for run in runs] == plain
+
+
 def test_grammar():
     machine = Composition(TARGET, NEGATION, REPORT, HEAD)
     assert machine.read(list("OTOI")) == {"targeted", "insult"}
