@@ -14,8 +14,8 @@ def _star(edges: DataFrame, total: int) -> tuple[DataFrame, list[DataFrame]]:
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     if total <= skew.LEAST:  # no hub can be hot
         return edges.join(low.drop("n"), "u"), []
-    low = materialize(low, "low")
-    return skew.hot_join(edges, low, ["u"], "n", total=total), [low]
+    low, known = skew.weighed(low, "n", "low")
+    return skew.hot_join(edges, low, ["u"], "n", known=known), [low]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
