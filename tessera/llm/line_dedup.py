@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.wordhash import mix, space_words, text_buffer, words
 from tessera.operators.ordering import positions
-from tessera.operators.skew import hot_join
+from tessera.operators.skew import hot_join, weighed
 from tessera.runtime import discard, materialize, python_workers, slices
 
 _U = np.uint64
@@ -179,8 +179,8 @@ def line_decisions(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, Data
     first = F.min(F.struct("doc_id", "line")).alias("first")
     distinct = materialize(lines.groupBy("lh").agg(first, F.count("*").alias("c"), F.first("n").alias("n"), F.first("halves").alias("halves")), "distinct")
     halves = materialize(distinct.where(F.col("n") >= min_words).select("lh", "first", F.posexplode("halves").alias("i", "half")), "halves")
-    shared = materialize(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    near = hot_join(halves, shared, ["half"], "c").groupBy("lh", "first").agg(F.max(F.col("i") % 2 == 0).alias("head"), F.max(F.col("i") % 2 == 1).alias("tail"))
+    shared, known = weighed(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1"), "c", "shared")
+    near = hot_join(halves, shared, ["half"], "c", known=known).groupBy("lh", "first").agg(F.max(F.col("i") % 2 == 0).alias("head"), F.max(F.col("i") % 2 == 1).alias("tail"))
     near = positions(near.select("lh", "first.doc_id", "first.line", "head", "tail"), ["doc_id", "line"]).withColumnRenamed("position", "num")
     wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("lh", "num", "head", "tail")).alias("wanted"))  # a document's own lines
     bodies = base.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_word_rows, "num long, lh long, head boolean, tail boolean, body binary")
@@ -194,14 +194,14 @@ def line_decisions(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, Data
     pairs = rows.select("num", F.explode(found).alias("other")).where("other is not null and num <> other")
     pairs = materialize(pairs.select(F.greatest("num", "other").alias("num"), F.least("num", "other").alias("other")).distinct(), "pairs")
     x = pairs.join(bodies.select("num", "lh", F.col("body").alias("x")).hint("merge"), "num").select("lh", "other", "x")
-    y = materialize(pairs.groupBy("other").agg(F.count("*").alias("c")).join(bodies.select(F.col("num").alias("other"), F.col("body").alias("y")).hint("merge"), "other"), "others")
-    gone = materialize(hot_join(x, y, ["other"], "c").select("lh", "x", "y").mapInArrow(_confirm, "lh long").distinct(), "gone")
+    y, known = weighed(pairs.groupBy("other").agg(F.count("*").alias("c")).join(bodies.select(F.col("num").alias("other"), F.col("body").alias("y")).hint("merge"), "other"), "c", "others")
+    gone = materialize(hot_join(x, y, ["other"], "c", known=known).select("lh", "x", "y").mapInArrow(_confirm, "lh long").distinct(), "gone")
     discard(halves, shared, bodies, pairs, y)
     state = distinct.select("lh", "first", "c").join(gone.withColumn("near", F.lit(True)).hint("merge"), "lh", "left")
     state = state.where("near or c > 1").select("lh", "first", F.coalesce("near", F.lit(False)).alias("near"), "c")
-    state = materialize(state, "state")
+    state, known = weighed(state, "c", "state")
     discard(distinct, gone)
-    marked = hot_join(lines.select("doc_id", "line", "lh"), state, ["lh"], "c").where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
+    marked = hot_join(lines.select("doc_id", "line", "lh"), state, ["lh"], "c", known=known).where(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
     return lines.select("doc_id", "line", "lh"), marked.select("doc_id", "line", "near")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm.wordhash import mix, space_words, text_buffer, words
 from tessera.operators.graph import connected_components
 from tessera.operators.ordering import positions
-from tessera.operators.skew import hot_join
+from tessera.operators.skew import hot_join, weighed
 from tessera.runtime import discard, materialize, python_workers, slices
 
 _U = np.uint64
@@ -131,14 +131,14 @@ def _likely(floor: float):
 
 
 def bucket_links(rows: pa.Table, floor: float, percent: int) -> list[tuple[int, int]]:
-    """Links (node, node) that join different components of one bucket, or of two blocks of one, by whole sets.
+    """Links between different components of one bucket, or of two blocks of one, found by whole sets: (component, component).
 
     Only pairs whose components no confirmed link has joined yet are compared; a pair
     that shares an earlier band belongs to that band's bucket.
     """
     if len(rows) < 2:
         return []
-    node, comp, block = (rows.column(c).to_pylist() for c in ("node", "comp", "block"))
+    comp, block = (rows.column(c).to_pylist() for c in ("comp", "block"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(rows), -1)
     band = np.array(rows.column("bands").to_pylist(), np.int64)
     sets = [np.frombuffer(x.as_buffer(), _U) for x in rows.column("items")]
@@ -167,7 +167,7 @@ def bucket_links(rows: pa.Table, floor: float, percent: int) -> list[tuple[int,
         for k in j:
             a, b = root(comp[i]), root(comp[k])
             if a != b and _enough(len(np.intersect1d(sets[i], sets[k], assume_unique=True)), size[i], size[k], percent):
-                out.append((node[i], node[k]))
+                out.append((comp[i], comp[k]))
                 roots[max(a, b)] = min(a, b)
     return out
 
@@ -212,13 +212,13 @@ def minhash_classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # numbered in the order of the smallest doc_id, so the smallest number of a component has its smallest doc_id
     nodes = positions(classes, ["class_id", "k1", "k2"]).withColumnRenamed("position", "node")
     each = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    shared = materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = materialize(hot_join(each, shared.withColumn("w", F.col("n")), ["h"], "w"), "buckets")
+    shared, known = weighed(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "n", "shared")
+    members = materialize(hot_join(each, shared.withColumn("w", F.col("n")), ["h"], "w", known=known), "buckets")
     score = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score"))
     scored = members.join(score.hint("merge"), "node")
     centres = scored.groupBy("h").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("c"), F.count("*").alias("n"))
-    centres = materialize(centres.select("h", (-F.col("c.m")).alias("centre"), "n"), "centres")
-    star = materialize(hot_join(members.select("h", "node"), centres, ["h"], "n").where("node <> centre").select("node", "centre").distinct(), "star")
+    centres, known = weighed(centres.select("h", (-F.col("c.m")).alias("centre"), "n"), "n", "centres")
+    star = materialize(hot_join(members.select("h", "node"), centres, ["h"], "n", known=known).where("node <> centre").select("node", "centre").distinct(), "star")
 
     needed = nodes.select(F.col("class_id").alias("doc_id"), "node", "k1", "k2").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
     sets = base.where("doc_id is not null").select("doc_id", "text").join(needed.hint("merge"), "doc_id").select("node", "k1", "k2", "text")
@@ -228,9 +228,9 @@ def minhash_classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         """pairs (node, centre) with x and y, the column of either; a centre of many nodes is dealt out."""
         x = pairs.join(what.select("node", F.col(column).alias("x")).hint("merge"), "node")
         y = pairs.groupBy("centre").agg(F.count("*").alias("w")).join(what.select(F.col("node").alias("centre"), F.col(column).alias("y")).hint("merge"), "centre")
-        y = materialize(y, "centre")
+        y, known = weighed(y, "w", "centre")
         temporary.append(y)
-        return hot_join(x, y, ["centre"], "w")
+        return hot_join(x, y, ["centre"], "w", known=known)
 
     temporary = [shared, members, centres, star, sets]
     marks = nodes.select("node", F.struct("sig", "n_shingles").alias("s"))
@@ -241,9 +241,9 @@ def minhash_classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     labelled = materialize(members.join(first.hint("merge"), "node", "left").select("h", "band", "node", F.coalesce("component", "node").alias("comp")), "labelled")
     open_ = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n", F.col("n").alias("w"))
-    open_ = materialize(open_, "open")
+    open_, known = weighed(open_, "w", "open")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    work = hot_join(labelled, open_, ["h"], "w").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    work = hot_join(labelled, open_, ["h"], "w", known=known).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     work = work.select("h", "band", "node", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     work = work.join(nodes.select("node", "bands", "sig").hint("merge"), "node").join(sets.hint("merge"), "node")
@@ -251,18 +251,22 @@ def minhash_classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     work = work.repartition(parts, "h", "p", "q").sortWithinPartitions("h", "p", "q", "node")
     found = work.select("h", "p", "q", "band", "node", "comp", "block", "bands", "sig", "items").mapInArrow(_bucket_links(floor, percent), "a long, b long")
     found = materialize(found, "found")
-    final = materialize(connected_components(edges.unionByName(found)), "components")
+    # links of open buckets join whole components
+    joined = connected_components(found).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    final = first.select("node", F.col("component").alias("part")).unionByName(joined.join(first, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), "part"))
+    final = final.join(joined.hint("merge"), "part", "left").select("node", F.coalesce("whole", "part").alias("component"))
+    final = materialize(final, "components")
 
     names = nodes.select(F.col("node").alias("component"), F.col("class_id").alias("component_id"))
     rep = nodes.select("k1", "k2", "n_shingles", "class_id", "copies", "node").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
-    rep = materialize(rep.join(names.hint("merge"), "component"), "classes")
+    rep, known = weighed(rep.join(names.hint("merge"), "component"), "copies", "classes")
     discard(*temporary, likely, edges, first, labelled, open_, found, final)
-    out = hot_join(features.select("doc_id", "text_key", "n_shingles", "k1", "k2"), rep, ["k1", "k2", "n_shingles"], "copies", "left")
-    known = F.col("doc_id").isNotNull()
-    component = F.when(known, F.coalesce("component_id", "doc_id"))
+    out = hot_join(features.select("doc_id", "text_key", "n_shingles", "k1", "k2"), rep, ["k1", "k2", "n_shingles"], "copies", "left", known)
+    named = F.col("doc_id").isNotNull()
+    component = F.when(named, F.coalesce("component_id", "doc_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"),
-        "text_key", F.when(known, F.col("component")).alias("component"),
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"),
+        "text_key", F.when(named, F.col("component")).alias("component"),
     )
 
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.skew import hot_join
+from tessera.operators.skew import hot_join, weighed
 from tessera.runtime import discard, materialize, python_workers, slices
 
 KINDS = ("email", "ip", "card", "phone", "found")
@@ -138,23 +138,23 @@ def bootstrap(hits: DataFrame, rounds: int = 4, support: int = 5, confidence: fl
     edges = hits.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.max("seed").alias("seed"))
     edges = materialize(edges, "edges")
     many = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"), F.count("*").alias("c")).where((F.col("n") >= support) & (F.col("open") > 0)).drop("open")
-    many = materialize(many, "patterns")
-    graph = materialize(hot_join(edges, many, ["pattern"], "c").withColumn("good", F.lit(0)).withColumn("on", F.lit(False)), "graph")
+    many, sizes = weighed(many, "c", "patterns")
+    graph = materialize(hot_join(edges, many, ["pattern"], "c", known=sizes).withColumn("good", F.lit(0)).withColumn("on", F.lit(False)), "graph")
     discard(edges, many)
     trusted = 0
     for _ in range(rounds):
         known = F.col("seed") | (F.col("good") > F.col("on").cast("int"))
         patterns = graph.groupBy("pattern").agg(F.count_if(known).alias("known"), F.max("n").alias("n"), F.max("on").alias("was"), F.count("*").alias("c"))
         patterns = patterns.select("pattern", (F.col("was") | ((F.col("known") >= support) & (F.col("known") >= confidence * F.col("n")))).alias("now"), "c")
-        patterns = materialize(patterns, "patterns")
+        patterns, sizes = weighed(patterns, "c", "patterns")
         count = patterns.where("now").count()
         if count == trusted:
             discard(patterns)
             break
         trusted = count
-        marked = materialize(hot_join(graph.drop("on", "good"), patterns, ["pattern"], "c").withColumnRenamed("now", "on"), "marked")
-        values = materialize(marked.groupBy("value").agg(F.count_if("on").cast("int").alias("good"), F.count("*").alias("c")), "values")
-        after = materialize(hot_join(marked, values, ["value"], "c").select("value", "pattern", "seed", "n", "good", "on"), "graph")
+        marked = materialize(hot_join(graph.drop("on", "good"), patterns, ["pattern"], "c", known=sizes).withColumnRenamed("now", "on"), "marked")
+        values, sizes = weighed(marked.groupBy("value").agg(F.count_if("on").cast("int").alias("good"), F.count("*").alias("c")), "c", "values")
+        after = materialize(hot_join(marked, values, ["value"], "c", known=sizes).select("value", "pattern", "seed", "n", "good", "on"), "graph")
         discard(graph, patterns, marked, values)
         graph = after
     return graph.where(~F.col("seed") & (F.col("good") > 0)).select("value").distinct()
@@ -182,8 +182,8 @@ def extract_pii(docs: DataFrame, rounds: int = 4, support: int = 5, confidence:
     each = materialize(each, "hits")
     found = materialize(bootstrap(each, rounds, support, confidence), "found")
     open_ = each.where(~F.col("seed"))
-    times = materialize(open_.groupBy("value").agg(F.count("*").alias("c")).join(found.hint("merge"), "value"), "times")
-    extra = hot_join(open_, times, ["value"], "c").groupBy(F.col("doc_id").alias("d"), F.col("k").alias("q"))
+    times, sizes = weighed(open_.groupBy("value").agg(F.count("*").alias("c")).join(found.hint("merge"), "value"), "c", "times")
+    extra = hot_join(open_, times, ["value"], "c", known=sizes).groupBy(F.col("doc_id").alias("d"), F.col("k").alias("q"))
     extra = materialize(extra.agg(F.collect_list(F.struct("start", F.lit(KINDS.index("found")).alias("kind"), "end")).alias("extra")), "extra")
     discard(each, found, times)
     out = rows.select("doc_id", "k", "base").join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("q")), "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.skew import hot_join
+from tessera.operators.skew import hot_join, weighed
 from tessera.runtime import materialize
 
 #: Kind: (pattern, group of the value, least length of the value). Runs of hex digits and of AKIA end where no such character follows, so the least length stands in the pattern.
@@ -68,8 +68,8 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, live_repositories: in
     each = each.where((F.col("kind") != OWNED[0]) | mixed).select("doc_id", "owner", "k1", "k2", "kind", "start", "end", F.xxhash64("v", F.length("v")).alias("v"))
     each = materialize(each, "candidates")
     owners = each.groupBy("v", "owner", "doc_id").agg(F.count("*").alias("c")).groupBy("v", "owner").agg(F.count("*").alias("n"), F.sum("c").alias("c")).groupBy("v")
-    owners = materialize(owners.agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.sum("c").alias("c")), "owners")
-    known = hot_join(each, owners, ["v"], "c")
+    owners, sizes = weighed(owners.agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.sum("c").alias("c")), "c", "owners")
+    known = hot_join(each, owners, ["v"], "c", known=sizes)
     known = known.withColumn("live", (F.col("owners") == 1) & (F.col("repositories") <= live_repositories)).withColumn("example", F.col("owners") >= example_owners)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     found = known.groupBy("doc_id", "owner", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "live", "example"))).alias("all"))

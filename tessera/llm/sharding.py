@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.neardup import shingle_sets
 from tessera.llm.wordhash import mix
-from tessera.operators.skew import hot_join
+from tessera.operators.skew import hot_join, weighed
 from tessera.runtime import discard, materialize, python_workers, slices
 
 #: Cells of moves that a round approves or refuses as a whole, for each pair of shards and level of gain.
@@ -95,10 +95,10 @@ def approve(asked: dict[tuple[int, int, int, int], int], loads: list[int], rooms
     return good
 
 
-def _tally(state: DataFrame, shards: int) -> DataFrame:
+def _tally(state: DataFrame, shards: int) -> tuple[DataFrame, tuple[int, int]]:
     """For each hub: rows by label (w), all its rows, nodes (c)."""
     by_label = ", ".join(f"coalesce(sum(n) FILTER (WHERE label = {t}), 0)" for t in range(shards))
-    return materialize(state.groupBy("hub").agg(F.expr(f"array({by_label})").alias("w"), F.sum("n").alias("whole"), F.count("*").alias("c")), "tally")
+    return weighed(state.groupBy("hub").agg(F.expr(f"array({by_label})").alias("w"), F.sum("n").alias("whole"), F.count("*").alias("c")), "c", "tally")
 
 
 def propagate_labels(nodes: DataFrame, edges: DataFrame, rooms: list[int], rounds: int) -> tuple[DataFrame, list[int], list[int]]:
@@ -122,10 +122,10 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, rooms: list[int], round
     state = materialize(edges.join(nodes.select("g", "label", "fixed").hint("merge"), "g"), "state")
     held = {r["label"]: r["n"] for r in nodes.where("not fixed").groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one row for each shard
     loads = [int(held.get(t, 0)) for t in range(shards)]
-    history, moved, total = [], 0, state.count()
+    history, moved = [], 0
     square = F.col("whole").cast("double") * F.col("whole") - F.aggregate("w", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     for turn in range(rounds + 1):
-        tally = _tally(state, shards)
+        tally, known = _tally(state, shards)
         if turn:
             history.append(moved)
         done = turn == rounds or (turn and 200 * moved <= sum(loads))
@@ -135,7 +135,7 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, rooms: list[int], round
             break
         # one parsed expression for each label is much quicker to build than columns
         votes = [F.expr(f"sum(floor((w[{t}] - if(label = {t}, n, 0)) * {UNIT} / greatest(whole - n, 1))) AS v{t}") for t in range(shards)]
-        asks = hot_join(state.where("not fixed"), tally, ["hub"], "c", total=total).groupBy("g", "n", "label").agg(*votes)
+        asks = hot_join(state.where("not fixed"), tally, ["hub"], "c", known=known).groupBy("g", "n", "label").agg(*votes)
         best = F.expr("array_max(array(" + ", ".join(f"struct(v{t} AS v, label = {t} AS stays, xxhash64({turn}, g, {t}) AS x, {t} AS t)" for t in range(shards)) + "))")
         asks = asks.select("g", "n", "label", best.alias("best"), F.expr(f"get(array({', '.join(f'v{t}' for t in range(shards))}), label)").alias("own"))
         gain = F.col("best.v") - F.col("own")
@@ -160,7 +160,7 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, rooms: list[int], round
         else:
             discard(tally, asks)
     same = F.coalesce(F.get("w", F.col("label")) - F.col("n"), F.lit(0))
-    linked = hot_join(state, tally, ["hub"], "c", total=total).groupBy("g").agg(F.first("label").alias("now"), F.sum(F.col("whole") - F.col("n")).alias("links"), F.sum(F.col("whole") - F.col("n") - same).alias("cut_links"))
+    linked = hot_join(state, tally, ["hub"], "c", known=known).groupBy("g").agg(F.first("label").alias("now"), F.sum(F.col("whole") - F.col("n")).alias("links"), F.sum(F.col("whole") - F.col("n") - same).alias("cut_links"))
     labels = nodes.join(linked.hint("merge"), "g", "left").select("g", "n", F.coalesce("now", "label").alias("label"), "fixed", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "cut_links")])
     labels = materialize(labels, "labels")
     discard(state, tally)
@@ -296,8 +296,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, seed: in
         return _cut(rows.select("doc_id", "size", "text_crc32", "group_id", "doc", F.lit(0).alias("zone"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("cut_links")), [(0, 0, 0)], spark)
     groups = materialize(rows.groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("n"), F.first("hubs").alias("hubs")), "groups")
     every = groups.select(F.explode("hubs").alias("hub"), "g", "n")
-    shared = materialize(every.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    edges = materialize(hot_join(every, shared, ["hub"], "c"), "edges")
+    shared, known = weighed(every.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1"), "c", "shared")
+    edges = materialize(hot_join(every, shared, ["hub"], "c", known=known), "edges")
     # the first n % shards shards hold one row more
     placed, large, undecided, segments, _ = place_groups(groups.select("g", "n"), edges, [each + (t < more) for t in range(shards)], rounds)
     table = spark.createDataFrame(large, "group_id long, large int, links_1 long, cut_1 long")  # some 64 groups for each shard at most
@@ -305,8 +305,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, seed: in
     # rows of large groups have their place and are dealt out by doc
     key = F.when(F.col("large").isNull(), F.col("group_id")).otherwise(F.col("doc"))
     joined = joined.withColumn("key", key).join(placed.withColumnRenamed("g", "key").hint("merge"), "key", "left")
-    known = F.col("large").isNotNull()
-    pick = lambda a, b: F.when(known, F.col(a)).otherwise(F.coalesce(b, F.lit(0)))
+    placed_by_driver = F.col("large").isNotNull()
+    pick = lambda a, b: F.when(placed_by_driver, F.col(a)).otherwise(F.coalesce(b, F.lit(0)))
     joined = joined.select("doc_id", "size", "text_crc32", "group_id", "doc", F.coalesce("large", "zone", F.lit(undecided + 1)).alias("zone"), pick("links_1", "links").alias("links"), pick("cut_1", "cut_links").alias("cut_links"))
     out = _cut(joined, segments, spark)
     discard(groups, shared, edges, rows)
