@@ -234,10 +234,12 @@ def train_cells(vectors: DataFrame, nlist: int | None = None, seed: int = 42, sa
     n = rows.count()
     cells = max(1, min(nlist if nlist is not None else cell_count(n), n // 10))
     chosen = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("embedding").collect()  # `sample` rows at most
-    x = np.array([r["embedding"] for r in chosen], dtype=float).reshape(len(chosen), -1)
+    if not chosen:
+        return np.zeros((0, 0))
+    x = np.array([r["embedding"] for r in chosen], dtype=float)
     rng = np.random.default_rng(seed)
-    centres = x[rng.permutation(len(x))[:cells]].copy() if len(x) else np.zeros((0, 0))
-    for _ in range(15 if len(x) else 0):
+    centres = x[rng.permutation(len(x))[:cells]].copy()
+    for _ in range(15):
         label = (x @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, label, x)
