@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,75 +31,84 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.max("rank").alias("rank"))
 
 
-def _side(near: dict, a, b) -> set | None:
-    """The smaller side if a and b aren't connected, else None; both sides are searched in turn, so the cost is twice the smaller one's."""
-    sides = [({a}, [a]), ({b}, [b])]
-    while True:
-        for k in (0, 1):
-            seen, todo = sides[k]
-            if not todo:
-                return seen
-            x = todo.pop()
-            for y in near[x]:
-                if y in sides[1 - k][0]:
-                    return None
-                if y not in seen:
-                    seen.add(y)
-                    todo.append(y)
-
-
 def split_component(nodes: set, edges: list[tuple], banned: set[tuple], floor: int = 45) -> list[set]:
-    """Parts of a component (connected, or the parts of one that isn't): a part stands if it has no cannot-link pair, no edge under the floor and enough density; else its weakest edge goes and it is looked at anew.
-
-    Adjacency is kept between cuts and each edge is dropped once, so a cut costs a
-    search from both its ends.
+    """Parts of a component (connected, or the parts of one that isn't): a part stands if it has no cannot-link pair, no edge under the floor and enough density; else its weakest edge goes and it is looked at anew."""
+    names = sorted(nodes)
+    at = {x: i for i, x in enumerate(names)}
+    links = sorted((c, a, b) for a, b, c in edges)
+    ends = np.array([(at[a], at[b]) for _, a, b in links], np.int64).reshape(-1, 2)
+    pairs = np.array([(at[a], at[b]) for a, b in banned if a in at and b in at], np.int64).reshape(-1, 2)
+    found = defaultdict(set)
+    for x, part in zip(names, split_parts(len(names), ends, [c >= floor for c, _, _ in links], pairs).tolist(), strict=True):
+        found[part].add(x)
+    return list(found.values())
+
+
+def split_parts(n: int, ends: np.ndarray, firm: list[bool], banned: np.ndarray) -> np.ndarray:
+    """The smallest node of its part for each node 0 .. n - 1, by the rule of split_component; ends are node pairs, the weakest first, firm tells which reach the floor.
+
+    Cuts are found backwards: edges come in with the strongest first, and each that
+    joins two parts is the cut that would part them.  When a part is joined to
+    another, the edges it has are those left to it after the cut, so what it holds
+    then tells whether it stands; the largest that stand are the result.  Each edge
+    is seen once, and the members and bans of the smaller side move, so a large
+    component costs little more than its edges' sort.
     """
-    near = defaultdict(set)
-    for a, b, _ in edges:
-        near[a].add(b)
-        near[b].add(a)
-    start, left = [], set(nodes)
-    while left:
-        part, todo = set(), [min(left)]
+    boss, size = list(range(2 * n)), [1] * n + [0] * n
+    count, breaks, stands = [0] * (2 * n), [0] * (2 * n), [True] * n + [False] * n
+    sides: list[tuple[int, int]] = [(0, 0)] * (2 * n)
+    apart = [[] for _ in range(n)]
+    for a, b in banned.tolist():
+        apart[a].append(b)
+        apart[b].append(a)
+    # nodes with a ban, by part
+    wary: list[list[int]] = [[x] if apart[x] else [] for x in range(n)] + [[] for _ in range(n)]
+    made, cut_firm = n, [True] * (2 * n)
+
+    def root(x: int) -> int:
+        while boss[x] != x:
+            boss[x] = boss[boss[x]]
+            x = boss[x]
+        return x
+
+    def settle(x: int) -> None:
+        m = size[x]
+        dense = m <= 2 or 2 * count[x] / (m * (m - 1)) >= (0.65 if m == 3 else 0.70)
+        stands[x] = m == 1 or (not breaks[x] and cut_firm[x] and dense)
+
+    for (a, b), strong in zip(ends[::-1].tolist(), reversed(firm), strict=True):
+        x, y = root(a), root(b)
+        if x == y:
+            # edges under the floor go before a part can stand
+            count[x] += strong
+            continue
+        settle(x)
+        settle(y)
+        few, many = (x, y) if len(wary[x]) <= len(wary[y]) else (y, x)
+        breaks[made] = breaks[x] + breaks[y] + sum(root(other) == many for one in wary[few] for other in apart[one])
+        wary[many] += wary[few]
+        wary[made], wary[few], wary[many] = wary[many], [], []
+        size[made], count[made], cut_firm[made], sides[made] = size[x] + size[y], count[x] + count[y] + strong, strong, (x, y)
+        boss[x] = boss[y] = made
+        made += 1
+    part = np.arange(n)
+    for top in {root(x) for x in range(n)}:
+        settle(top)
+        todo = [top]
         while todo:
             x = todo.pop()
-            if x not in part:
-                part.add(x)
-                todo += near[x] - part
-        left -= part
-        start.append(part)
-    where = {x: i for i, part in enumerate(start) for x in part}
-    inside, bans = [[] for _ in start], [[] for _ in start]
-    for a, b, c in edges:
-        inside[where[a]].append((c, a, b))
-    for a, b in banned:
-        if a in where and where.get(b) == where[a]:
-            bans[where[a]].append((a, b))
-    # edges with the weakest last, so the next to go is at the end
-    queue = [(part, sorted(e, reverse=True), x) for part, e, x in zip(start, inside, bans, strict=True)]
-    out = []
-    while queue:
-        members, links, apart = queue.pop()
-        n = len(members)
-        if n == 1:
-            out.append(members)
-            continue
-        weak = bool(links) and links[-1][0] < floor
-        dense = n == 2 or 2 * len(links) / (n * (n - 1)) >= (0.65 if n == 3 else 0.70)
-        if not apart and not weak and dense:
-            out.append(members)
-            continue
-        _, a, b = links.pop()
-        near[a].discard(b)
-        near[b].discard(a)
-        side = _side(near, a, b)
-        if side is None:
-            queue.append((members, links, apart))
-            continue
-        rest = members - side
-        for part in (side, rest):
-            queue.append((part, [e for e in links if e[1] in part], [p for p in apart if p[0] in part and p[1] in part]))
-    return out
+            if not stands[x]:
+                todo += sides[x]
+                continue
+            inside, members = [x], []
+            while inside:
+                y = inside.pop()
+                if y < n:
+                    members.append(y)
+                else:
+                    inside += sides[y]
+            part[members] = min(members)
+    return part
 
 
 def build_groups(edges: DataFrame, rejected: DataFrame | None = None, floor: int = 45) -> DataFrame:
@@ -113,7 +123,7 @@ def group_members(edges: DataFrame, rejected: DataFrame | None = None, floor: in
     they are the weakest of a component that can't stand.  Components without a
     cannot-link pair and with enough density stand, pairs that are forbidden part, by
     aggregates of their edges; only the others are split, each in one task, with
-    split_component, whose cuts depend on each other.  Groups of one collapse away
+    split_parts, as a cut depends on those before; it sees each edge once.  Groups of one collapse away
     unless an exact class stands behind them.  A group's confidence and type are the maxima over its edges;
     ids count from 1 by confidence, size (both falling) and first member.
     """
@@ -135,10 +145,11 @@ def group_members(edges: DataFrame, rejected: DataFrame | None = None, floor: in
         labelled = labelled.unionByName(inside.select("component", "a", "b", F.lit(None).cast("int").alias("confidence"), F.lit(True).alias("banned")))
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = [(r.a, r.b, int(r.confidence)) for r in pdf[~pdf.banned].itertuples()]
-        nodes = {x for a, b, _ in links for x in (a, b)}
-        parts = split_component(nodes, links, {(r.a, r.b) for r in pdf[pdf.banned].itertuples()}, floor)
-        return pd.DataFrame([(n, min(p)) for p in parts for n in p], columns=["rep", "part"])
+        links = pdf[~pdf.banned].sort_values(["confidence", "a", "b"])
+        names = np.unique(np.concatenate([links.a, links.b]))
+        places = lambda df: np.stack([np.searchsorted(names, df[c].to_numpy()) for c in ("a", "b")], axis=1)
+        parts = split_parts(len(names), places(links), (links.confidence >= floor).tolist(), places(pdf[pdf.banned]))
+        return pd.DataFrame({"rep": names, "part": names[parts]})
 
     # what split_component accepts at its first look needs no task that holds it
     n = F.col("n")

@@ -142,3 +142,25 @@ def test_random_graphs_against_the_split(spark):
             if root == min(part) == c:
                 want += [sorted(p) for p in split_component(part, [e for e in inside if e[0] in part], {(min(p), max(p)) for p in banned}) if len(p) > 1]
     assert sorted(g[1] for g in groups(spark, edges, banned)) == sorted(want)
+
+
+def test_a_large_component_is_split_in_one_pass():
+    """A hub's leaves go one by one, each cut leaving all other edges: with a look at all of them for each cut this took the square of the edges."""
+    n = 60_000
+    edges = [(0, i, 50 + i % 40) for i in range(1, n)] + [(i, i + 1, 99) for i in range(1, n - 1, 2)]
+    began = time.time()
+    parts = split_component(set(range(n)), edges, {(i, i + 1) for i in range(1, n - 1, 10)})
+    assert time.time() - began < 20
+    # a leaf whose own edge is the last that 0 keeps stays with it
+    assert sorted(x for p in parts for x in p) == list(range(n)) and sum(len(p) == 2 for p in parts) > 0.39 * n
+
+
+def test_bans_and_weak_edges_in_larger_components_against_the_plain_rule():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randint(10, 25)
+        edges = [(i, j, rng.randint(40, 99)) for i in range(n) for j in range(i + 1, n) if rng.random() < rng.choice((0.1, 0.4, 0.9))]
+        nodes = {x for a, b, _ in edges for x in (a, b)}
+        banned = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(0, 12))}
+        if nodes:
+            assert sorted(map(sorted, split_component(nodes, edges, banned))) == sorted(map(sorted, plain_split(nodes, edges, banned)))
