@@ -31,8 +31,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _sigs(spark: SparkSession, d: str) -> DataFrame:
     """Sign bits of a vector as one signature, and of its neighbour differences as the other."""
-    step = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.get("embedding", i + 1) > F.get("embedding", i))
-    return _vectors(spark, d).select("id", c.sign_bits("embedding", 0).alias("p"), c.pack_bits(step).alias("d"))
+    return pairs.vector_signatures(_vectors(spark, d))
 
 
 DOCS = "docs AS (SELECT doc_id, format('doc/{:010d}', doc_id) AS path, sha256(text) AS exact_hash, octet_length(encode(text)) AS length FROM documents)"
@@ -69,7 +68,9 @@ def canonical_rows(spark, d):
 
 @query(f"WITH {SIGS} SELECT id, lower(lpad(to_hex(p::BIGINT), 16, '0')) AS p_hex, lower(lpad(to_hex(d::BIGINT), 16, '0')) AS d_hex FROM sigs")
 def embedding_signature(spark, d):
-    return _sigs(spark, d).select("id", c.to_hex("p").alias("p_hex"), c.to_hex("d").alias("d_hex"))
+    """The signatures of _sigs as scalar expressions."""
+    step = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.get("embedding", i + 1) > F.get("embedding", i))
+    return _vectors(spark, d).select("id", c.to_hex(c.sign_bits("embedding", 0)).alias("p_hex"), c.to_hex(c.pack_bits(step)).alias("d_hex"))
 
 
 @query(HAMMING)

@@ -10,9 +10,12 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import plans
+from tessera.functions import columns as c
 from tessera.operators import pairs
 
 DATA = "/root/testdata/sf0.001"
@@ -153,6 +156,39 @@ def test_bands_of_blocks_miss_no_pair():
     assert pairs._search_bands(1 << 17, 18) == (pairs._edges(5), 3)
 
 
+def test_hamming_join_of_unique_signatures_joins_nothing_back(spark):
+    """Ids travel with the signatures, so pairs come out of the search as they are; texts as ids, and in several blocks too."""
+    rng = random.Random(6)
+    rows = [(f"v{i:03d}", rng.getrandbits(64) - (1 << 63), (1 << 40) - i) for i in range(200)]
+    rows += [(f"w{i}", p ^ 7, d ^ 1) for i, (_, p, d) in enumerate(rows[:50])]
+    df = spark.createDataFrame(rows, "id string, p long, d long")
+    want = sorted(map(tuple, pairs.hamming_theta(df, 18, 22).collect()))
+    assert len(want) >= 50
+    one = pairs.hamming_join(df, 18, 22)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of blocks with blocks
+    for found in (one, pairs.hamming_join(df, 18, 22, 90), pairs.hamming_join(df.unionByName(df.limit(0)), 18, 22)):
+        assert sorted(map(tuple, found.collect())) == want
+
+
+def test_close_pairs_travel_in_large_batches():
+    chunks = ([pa.array([i, i + 1]), pa.array([0, 1])] for i in range(100))
+    got = list(pairs._in_batches(chunks, ["x", "y"], 64))
+    assert [len(b) for b in got] == [64, 64, 64, 8] and got[0].column("x").to_pylist()[:4] == [0, 1, 1, 2]
+    assert not list(pairs._in_batches(iter([]), ["x", "y"]))
+
+
+def test_vector_signatures_as_the_scalar_expressions(spark):
+    nan, rng = float("nan"), random.Random(8)
+    odd = [None, [], [1.0], [nan, 1.0, nan, nan, -1.0], [None, 1.0, None, 2.0, 3.0], [0.0, -0.0, 1.0]]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(n)]) for i, n in enumerate([64] * 20 + [63, 65, 80, 2])] + [(100 + i, v) for i, v in enumerate(odd)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"id long, embedding array<{kind}>").repartition(2)
+        step = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.get("embedding", i + 1) > F.get("embedding", i))
+        want = df.select("id", c.sign_bits("embedding", 0), F.when(F.col("embedding").isNotNull(), c.pack_bits(step)))
+        assert sorted(map(tuple, pairs.vector_signatures(df).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_bench_times_registered_queries():
     import bench
 
