@@ -4,50 +4,92 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import model_stem
 from tessera.operators.ordering import positions
 from tessera.operators.pairs import hamming_join
-from tessera.runtime import discard, materialize
-
-
-def distinct_seeds(seeds: DataFrame, p_max: int = 8, d_max: int = 6, n: int | None = None) -> DataFrame:
+from tessera.runtime import discard, materialize, python_workers
+
+
+#: Undecided seeds, and close pairs of their signatures, that one task scans.
+SEEDS, PAIRS = 1 << 18, 1 << 21
+
+
+def _scan(rows: pa.Table, close: pa.Table) -> pa.Table:
+    """The paths of rows (path, stem, sig) that the scan accepts, with the close signatures (a, b)."""
+    order = pc.sort_indices(rows, sort_keys=[("path", "ascending"), ("sig", "ascending")]).to_pylist()
+    names, sig = np.unique(rows.column("sig").to_numpy(), return_inverse=True)
+    stems = pa.concat_arrays(rows.column("stem").chunks).dictionary_encode().indices.to_pylist()
+    ends = [np.searchsorted(names, close.column(c).to_numpy()) for c in ("a", "b")]
+    one, other = np.concatenate(ends), np.concatenate(ends[::-1])
+    by = np.argsort(one, kind="stable")
+    first, other = np.searchsorted(one[by], np.arange(len(names) + 1)).tolist(), other[by]
+    used, excluded, kept = set(), np.zeros(len(names), bool), []
+    sigs = sig.tolist()
+    for r in order:
+        s = sigs[r]
+        if excluded[s] or stems[r] in used:
+            continue
+        kept.append(r)
+        used.add(stems[r])
+        excluded[s] = True
+        excluded[other[first[s] : first[s + 1]]] = True
+    return rows.select(["path"]).take(pa.array(kept, pa.int64()))
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get.get("n") or 0
+
+
+def distinct_seeds(seeds: DataFrame, p_max: int = 8, d_max: int = 6, n: int | None = None, scanned: tuple[int, int] = (SEEDS, PAIRS)) -> DataFrame:
     """The paths of seeds (path, stem, p, d) that a scan in path order accepts: a seed goes if an accepted one has its cleaned stem or is within both Hamming distances.
 
-    The scan's result is the lexicographically first independent set, found in
+    The scan's result is the lexicographically first independent set.  While more than
+    `scanned` seeds are undecided, or pairs of their signatures close, it is found in
     rounds: the undecided seeds that are first of their stem and first among their
-    signature and its neighbours are accepted at once, and what they exclude
-    goes, until nothing is undecided; the first undecided seed is always accepted.  Equal signatures and equal stems are classes with one minimum each, so a
+    signature and its neighbours are accepted at once, and what they exclude goes,
+    pairs included; the first undecided seed is always accepted.  What is left then,
+    which depends on no other seed, is scanned in one task, however long its chains.
+    Equal signatures and equal stems are classes with one minimum each, so a
     large class costs its rows and no pairs.  Null signatures have no neighbours,
     null stems equal none.
     With n, the first n that are accepted.
     """
+    python_workers(seeds.sparkSession)
     alone = F.concat(F.lit("?"), F.col("path"))
-    sig = F.when(F.col("p").isNotNull() & F.col("d").isNotNull(), F.concat_ws(":", F.col("p").cast("string"), F.col("d").cast("string"))).otherwise(alone)
-    rows = materialize(seeds.select("path", F.coalesce(model_stem("stem"), alone).alias("stem"), "p", "d", sig.alias("sig")), "seeds")
-    classes = rows.where("p is not null and d is not null").groupBy("p", "d").agg(F.first("sig").alias("id"))
-    close = hamming_join(classes, p_max, d_max).select("a", "b")
-    itself = rows.select(F.col("sig").alias("a"), F.col("sig").alias("b")).distinct()
-    near = materialize(close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(itself), "near")
-    open_ = rows.select("path", "stem", "sig")
+    rows = materialize(seeds.select("path", F.coalesce(model_stem("stem"), alone).alias("stem"), "p", "d").withColumn("i", F.monotonically_increasing_id()), "seeds")
+    signed = F.col("p").isNotNull() & F.col("d").isNotNull()
+    classes = rows.where(signed).groupBy("p", "d").agg(F.min("i").alias("id"))
+    close, pairs = _counted(hamming_join(classes, p_max, d_max).select("a", "b"), "close")
+    placed = rows.where(signed).join(classes, ["p", "d"]).select("path", "stem", F.col("id").alias("sig"))
+    open_, left = _counted(placed.unionByName(rows.where(~signed).select("path", "stem", F.col("i").alias("sig"))), "open")
     accepted: list[DataFrame] = []
-    while True:
-        by_sig = open_.groupBy("sig").agg(F.min("path").alias("low"))
-        around = near.join(by_sig, F.col("b") == F.col("sig")).groupBy("a").agg(F.min("low").alias("first_near"))
+    while left > scanned[0] or pairs > scanned[1]:
+        near = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = open_.groupBy("sig").agg(F.min("path").alias("low"))
+        around = near.join(low, F.col("b") == F.col("sig")).select("a", "low").unionByName(low.select(F.col("sig").alias("a"), "low")).groupBy("a").agg(F.min("low").alias("first_near"))
         by_stem = open_.groupBy("stem").agg(F.min("path").alias("first_stem"))
         won = open_.join(by_stem, "stem").where("path = first_stem").join(around, F.col("sig") == F.col("a")).where("path = first_near").select("path", "stem", "sig")
         won = materialize(won, "won")
         accepted.append(won)
-        gone = near.join(won.select(F.col("sig").alias("b")).distinct(), "b").select(F.col("a").alias("sig")).distinct()
-        after = materialize(open_.join(won.select("stem").distinct(), "stem", "left_anti").join(gone, "sig", "left_anti").select("path", "stem", "sig"), "open")
-        open_ = after
-        if open_.isEmpty():
-            break
-    discard(near)
-    out = reduce(DataFrame.unionByName, accepted).select("path")
+        sigs = won.select("sig").distinct()
+        gone = near.join(sigs.withColumnRenamed("sig", "b"), "b").select(F.col("a").alias("sig")).unionByName(sigs).distinct()
+        open_, left = _counted(open_.join(won.select("stem").distinct(), "stem", "left_anti").join(gone, "sig", "left_anti").select("path", "stem", "sig"), "open")
+        before, still = close, open_.select("sig").distinct()
+        close, pairs = _counted(close.join(still.withColumnRenamed("sig", "a"), "a", "left_semi").join(still.withColumnRenamed("sig", "b"), "b", "left_semi").select("a", "b"), "close")
+        discard(before)
+    if left or not accepted:
+        together = open_.groupBy(F.lit(0).alias("k")).cogroup(close.groupBy(F.lit(0).alias("k")))
+        accepted.append(together.applyInArrow(_scan, f"path {dict(open_.dtypes)['path']}"))
+    out = reduce(DataFrame.unionByName, [a.select("path") for a in accepted])
     return out.orderBy("path").limit(n) if n is not None else out
 
 

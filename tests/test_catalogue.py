@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -40,6 +41,24 @@ def test_chain_and_copies_of_seeds(spark):
     assert catalogue.distinct_seeds(got.selectExpr("path", "path stem", "1L p", "1L d").limit(0)).count() == 0
 
 
+def test_seeds_in_rounds_and_in_one_task(spark, monkeypatch):
+    """A chain of 60 seeds, each close to the next only: one task scans it without a round; in rounds, and rounds first, the result is the same."""
+    rng = random.Random(3)
+    rows = [(f"{i:03d}", f"chain{chr(97 + i % 26)}{i // 26}", (1 << (i % 63)) - 1, 5) for i in range(60)]
+    rows += [(f"9{i:02d}", f"s{rng.randrange(30)}x", rng.getrandbits(8), 1 << 50) for i in range(40)]
+    want = scan(rows, 1, 0)
+    assert len(want) < 60 and want[:3] == ["000", "002", "004"]
+    df = spark.createDataFrame(rows, "path string, stem string, p long, d long").repartition(3)
+    made = []
+    monkeypatch.setattr(catalogue, "materialize", lambda df, name="table", f=catalogue.materialize: made.append(name) or f(df, name))
+    assert sorted(r.path for r in catalogue.distinct_seeds(df, 1, 0).collect()) == want
+    assert made == ["seeds", "close", "open"]
+    assert sorted(r.path for r in catalogue.distinct_seeds(df.where("path >= '9'"), 1, 0, scanned=(0, 0)).collect()) == scan(rows[60:], 1, 0)
+    made.clear()
+    assert sorted(r.path for r in catalogue.distinct_seeds(df, 1, 0, scanned=(80, 1 << 20)).collect()) == want
+    assert 1 <= made.count("won") < 10
+
+
 def test_classes_and_positions_of_an_empty_table(spark):
     none = spark.createDataFrame([], "name string, category string, width int, height int")
     assert catalogue.capped_classes(none, "name", [("x", ["a"], ["b"])], 2, "rest").count() == 0
