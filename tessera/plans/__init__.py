@@ -133,8 +133,10 @@ def confidence_bands(spark, d):
 @query(f"""WITH {TOPK}, near AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b, similarity FROM top WHERE i <> j AND similarity >= 0.35), h AS ({HAMMING})
 SELECT n.a, n.b, greatest(round_even(100 * n.similarity, 0)::INT, CASE WHEN h.a IS NULL THEN 0 ELSE greatest(0, least(100, round_even(95 - (p_dist + d_dist) / 2.0 * 2.0, 0)))::INT END) AS confidence, CASE WHEN h.a IS NULL THEN 'embedding_color_verified' ELSE 'near_exact' END AS match_type FROM near n LEFT JOIN h ON h.a = n.a AND h.b = n.b""")
 def deferred_upgrade(spark, d):
+    """Of the hash pairs only those among the neighbours can change a row, so only these are looked up."""
     near = pairs.cosine_candidates(_vectors(spark, d), 10, 0.35).select("a", "b", F.bround(100 * F.col("similarity"), 0).cast("int").alias("confidence"))
-    h = pairs.hamming_join(_sigs(spark, d), 18, 22).select("a", "b", c.hash_confidence("p_dist", "d_dist").alias("confidence"))
+    near = materialize(near, "near")
+    h = pairs.hamming_among(near, _sigs(spark, d), 18, 22).select("a", "b", c.hash_confidence("p_dist", "d_dist").alias("confidence"))
     return pairs.upgrade_deferred(near, h)
 
 

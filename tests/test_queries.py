@@ -171,6 +171,30 @@ def test_hamming_join_of_unique_signatures_joins_nothing_back(spark):
         assert sorted(map(tuple, found.collect())) == want
 
 
+def test_hash_pairs_among_candidates(spark):
+    """The close pairs that are candidates, copies and null signatures included."""
+    rng = random.Random(7)
+    rows = [(i, rng.getrandbits(20), rng.getrandbits(20)) for i in range(60)]
+    rows += [(100 + i, p, d) for i, (_, p, d) in enumerate(rows[:10])] + [(200, None, 1), (201, 1, None)]
+    df = spark.createDataFrame(rows, "id long, p long, d long")
+    close = {(r.a, r.b): (r.p_dist, r.d_dist) for r in pairs.hamming_theta(df, 8, 10).collect()}
+    ids = [r[0] for r in rows]
+    asked = {(a, b) for a in ids for b in ids if a < b and (a + b) % 3 == 0} | {(0, 999)}
+    want = sorted((*ab, *close[ab]) for ab in asked & set(close))
+    found = pairs.hamming_among(spark.createDataFrame(sorted(asked), "a long, b long"), df, 8, 10)
+    assert 20 < len(want) < len(close) and sorted(map(tuple, found.collect())) == want
+
+
+def test_deferred_upgrade_searches_no_hash_pairs(spark, monkeypatch):
+    """The neighbours' hash pairs are looked up; a search of all of them took most of the query's stages."""
+    want = plans.QUERIES["deferred_upgrade"](spark, DATA).collect()
+    near = pairs.cosine_candidates(plans._vectors(spark, DATA), 10, 0.35).select("a", "b", F.bround(100 * F.col("similarity"), 0).cast("int").alias("confidence"))
+    every = pairs.hamming_join(plans._sigs(spark, DATA), 18, 22).select("a", "b", c.hash_confidence("p_dist", "d_dist").alias("confidence"))
+    assert sorted(map(tuple, want)) == sorted(map(tuple, pairs.upgrade_deferred(near, every).collect()))
+    monkeypatch.setattr(pairs, "hamming_join", None)
+    assert plans.QUERIES["deferred_upgrade"](spark, DATA).count() == len(want)
+
+
 def test_close_pairs_travel_in_large_batches():
     chunks = ([pa.array([i, i + 1]), pa.array([0, 1])] for i in range(100))
     got = list(pairs._in_batches(chunks, ["x", "y"], 64))
