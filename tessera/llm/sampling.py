@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import materialize
 
+#: Files of a sample, and of what is counted from it, at most.
+FILES = 16
+
 
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """Whether crc32(doc_id as text) mod folds is fold; a null doc_id is never held out."""
@@ -29,4 +32,4 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     picked = rows.where("y = 1").orderBy(order, "id").limit(positives).unionByName(rows.where("y = 0").orderBy(order, "id").limit(negatives))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sample = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
-    return materialize(sample.dropDuplicates(["y", "text"]).repartition(16, "text"), "sample"), counts.get(1, 0) / max(1, sum(counts.values()))
+    return materialize(sample.dropDuplicates(["y", "text"]).repartition(FILES, "text"), "sample", FILES), counts.get(1, 0) / max(1, sum(counts.values()))

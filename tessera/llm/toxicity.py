@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.neardup import shingle_sets
-from tessera.llm.sampling import held_out, training_sample
+from tessera.llm.sampling import FILES, held_out, training_sample
 from tessera.llm.wordhash import mix
 from tessera.runtime import materialize, python_workers, slices
 
@@ -113,7 +113,7 @@ def learn_lexicon(sample: DataFrame, most: int = 3000) -> list[tuple[str, float]
     lets chance give, and at least 15 : 1 odds; a family of near copies counts once.  Of a chain of prefixes with the same
     support only the longest stays, and a gram whose prefix is as pure is left out.
     """
-    sample = materialize(sample.mapInArrow(_families, "y int, text string, near long").dropDuplicates(["y", "near"]).drop("near"), "families")
+    sample = materialize(sample.mapInArrow(_families, "y int, text string, near long").dropDuplicates(["y", "near"]).drop("near"), "families", FILES)
     by_label = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     p_all, n_all = by_label.get(1, 0), by_label.get(0, 0)
     if not p_all or not n_all:
@@ -124,7 +124,7 @@ def learn_lexicon(sample: DataFrame, most: int = 3000) -> list[tuple[str, float]
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     g2 = 2 * (term(F.col("p"), seen * share) + term(F.col("n"), seen * (1 - share)))
     odds = F.log((F.col("p") + 0.5) / (p_all + 1)) - F.log((F.col("n") + 0.5) / (n_all + 1))
-    counts = materialize(counts.where(seen >= 4), "grams")
+    counts = materialize(counts.where(seen >= 4), "grams", FILES)
     least = 2 * math.log(max(2, counts.count())) + 2
     found = counts.where(F.col("p") >= 3).withColumn("g2", g2).withColumn("odds", odds).where((F.col("g2") >= least) & (F.col("odds") >= math.log(15)))
     rows = found.orderBy(F.desc("g2"), "gram").limit(most).collect()

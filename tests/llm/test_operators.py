@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import sampling, toxicity
 from tessera.llm.decontaminate import benchmark_digest, decontaminate
 from tessera.llm.line_dedup import dedup_lines, line_digest
 from tessera.llm.mixing import mix_sources, sainte_lague, shard_quotas, targets
@@ -587,6 +588,32 @@ def test_classifiers(spark, nothing, score, label, folds, fold):
     assert score(docs.limit(5), labels.limit(0)).where(F.col("score") == 0.5).count() >= 1
 
 
+def test_samples_in_few_files(spark, monkeypatch):
+    """What is learnt from has 16 files at most, however many partitions the session's shuffles have, and the scores don't depend on them."""
+    rng, tables, write = np.random.default_rng(5), {}, sampling.materialize
+
+    def kept(df, name, *files):
+        tables[name] = write(df, name, *files)
+        return tables[name]
+
+    for module in (sampling, toxicity):
+        monkeypatch.setattr(module, "materialize", kept)
+    rows = [(i, " ".join([*(VOCABULARY[j] for j in rng.integers(0, 400, 30)), *["blargo", "zotfool"] * (i % 3 == 0)])) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    few = by_id(score_toxicity(docs, labels))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        many = by_id(score_toxicity(docs, labels))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {name: len(df.inputFiles()) for name, df in tables.items()}
+    assert files.keys() == {"sample", "families", "grams"} and max(files.values()) <= 16, files
+    assert tables["families"].count() > 150 and many == few
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
